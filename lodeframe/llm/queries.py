@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodeframe.llm.bpe import bpe_decode, bpe_encode
+from lodeframe.llm.exact_dedup import exact_duplicates
+from lodeframe.llm.line_dedup import dedup_lines
+from lodeframe.llm.simhash import near_duplicates, unsigned_hex
 from lodeframe.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +56,43 @@ def op1_bpe(spark: SparkSession, sf: str, vocabulary: str | None = None) -> Data
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf: str, model: str | None = None) -> DataFrame:
     return count_tokens(documents(spark, sf), model or tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf), bits=2, width=3)
+    return found.select("doc_id", unsigned_hex("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT doc_id, pos, line,
+             translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND k.doc_id <> f.last AS dropped FROM k LEFT JOIN f ON k.key = f.key)
+"""
+
+
+@query(
+    "op9_line_dedup",
+    LINE_DEDUP_SQL
+    + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+       FROM m GROUP BY doc_id""",
+)
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = dedup_lines(documents(spark, sf).select("doc_id", "text"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
+
+
+@query(
+    "op10_exact_dedup",
+    """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+       g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+       SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+)
+def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf))
