@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lodeframe.llm.bpe import bpe_decode, bpe_encode
 from lodeframe.llm.exact_dedup import exact_duplicates
 from lodeframe.llm.line_dedup import dedup_lines
+from lodeframe.llm.quality_rules import judge
+from lodeframe.llm.secrets import count_kind, find_secrets, spans_text, train
 from lodeframe.llm.simhash import near_duplicates, unsigned_hex
 from lodeframe.llm.token_counts import count_tokens
 
@@ -96,3 +98,44 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = find_secrets(docs, train(docs))
+    return found.select(
+        "doc_id",
+        *(count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        sha256(spans_text(F.col("base_spans"))).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query(
+    "op8_quality_rules",
+    r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+c AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS bad FROM f GROUP BY source),
+m AS (SELECT avg(bad / n) AS mu, var_samp(bad / n) AS v FROM h),
+k AS (SELECT mu, CASE WHEN v > 0 AND v < mu * (1 - mu) THEN mu * (1 - mu) / v - 1 ELSE 0 END AS weight FROM m),
+j AS (SELECT source, (bad + mu * weight) / (n + weight) AS rate FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept
+FROM f LEFT JOIN j USING (source)
+""",
+)
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(documents(spark, sf)).drop("host_rate")
