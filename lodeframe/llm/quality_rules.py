@@ -18,6 +18,8 @@ from lodeframe.plans.skew import join_per_key
 SPACE = " \t\n\v\f\r"
 #: Fixed values of the rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, "[#*$%&|<>]"
+#: Bits kept for the position in a sorted window; longer texts sort whole hashes.
+POSITION_BITS = 20
 #: A host is rejected above this shrunken rate; symbols per 100 words and repeated lines per 100 lines that count as failures.
 MAX_HOST_RATE, MAX_SYMBOL_PERCENT, MAX_LINE_PERCENT = 0.5, 10, 30
 
@@ -44,10 +46,20 @@ def rule_counts(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> D
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
     )
-    # Only texts that repeat a window sort theirs, with positions.
+    # Only texts that repeat a window sort theirs: first a long of hash bits above and position below, which leaves few
+    # candidates, then the whole hashes of those. Each step is a projection of its own, so none is computed twice.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.select("*", F.when(repeats, placed).alias("placed"))
+    low = (1 << POSITION_BITS) - 1
+    packed = F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i)))
+    rows = rows.select("*", F.when(repeats & (F.size("windows") <= low), packed).alias("packed"), (repeats & (F.size("windows") > low)).alias("long"))
+
+    def alike(x: Column, i: Column) -> Column:
+        beside = F.get("packed", F.when(i >= 0, i))
+        return F.coalesce(F.shiftright(x.bitwiseXOR(beside), POSITION_BITS) == 0, F.lit(False))
+
+    near = F.transform(F.filter("packed", lambda x, i: alike(x, i - 1) | alike(x, i + 1)), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+    rows = rows.select("*", F.when(F.col("long"), F.sequence(F.lit(0), F.size("windows") - 1)).otherwise(near).alias("near"))
+    rows = rows.select("*", F.sort_array(F.transform("near", lambda i: F.struct(F.get("windows", i).alias("h"), i.alias("i")))).alias("placed"))
     same = F.filter("placed", lambda x, i: ((i > 0) & (x["h"] == F.get("placed", i - 1)["h"])) | F.coalesce(x["h"] == F.get("placed", i + 1)["h"], F.lit(False)))
     starts = F.sort_array(F.transform(same, lambda x: x["i"]))
     return rows.select("id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(_covered(starts), F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines")
