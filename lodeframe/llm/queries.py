@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodeframe.llm.bpe import bpe_decode, bpe_encode
 from lodeframe.llm.exact_dedup import exact_duplicates
+from lodeframe.llm.language_id import fold, predict_language, train_language_id
 from lodeframe.llm.line_dedup import dedup_lines
+from lodeframe.llm.packing import pack
+from lodeframe.llm.quality_model import score_quality, train_quality
 from lodeframe.llm.quality_rules import judge
 from lodeframe.llm.secrets import count_kind, find_secrets, spans_text, train
 from lodeframe.llm.simhash import near_duplicates, unsigned_hex
@@ -39,6 +42,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    """The split pattern of the byte-level vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -139,3 +149,25 @@ FROM f LEFT JOIN j USING (source)
 )
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge(documents(spark, sf)).drop("host_rate")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(documents(spark, sf), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern(), capacity=2048, end_id=1)
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = train_language_id(docs.where(~held_out))
+    return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    net = train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out))
+    scored = score_quality(docs, net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
