@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodeframe.functions import predicates
+from lodeframe.operators import relations, search
+from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +41,232 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def code_search(spark: SparkSession, sf: str) -> DataFrame:
     found = lines(table(spark, sf, "documents"), "doc_id", "text").where(F.lower("line").contains("license"))
     return found.select("full_path", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("match_line"))
+
+
+#: Turn n of a conversation points at turn n - 1.
+TURNS_SQL = """(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS src,
+                CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS dst FROM conversations
+                WHERE turn > (SELECT min(turn) FROM conversations))"""
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    conv = table(spark, sf, "conversations")
+    first = conv.agg(F.min("turn")).first()[0]
+    node = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    return conv.where(F.col("turn") > F.lit(first)).select(node(F.col("turn")).alias("src"), node(F.col("turn") - 1).alias("dst"))
+
+
+@query(
+    "hierarchy_closure",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {TURNS_SQL}),
+        r(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src)
+        SELECT src, dst, min(depth) AS depth, min(depth) = 1 AS is_direct FROM r GROUP BY src, dst""",
+)
+def hierarchy_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return closure(turns(spark, sf))
+
+
+@query("hierarchy_leaves", f"SELECT DISTINCT dst AS node FROM {TURNS_SQL} WHERE dst NOT IN (SELECT src FROM {TURNS_SQL})")
+def hierarchy_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return leaves(turns(spark, sf))
+
+
+#: Foreign keys as a hierarchy: customer -> nation -> region.
+KEYS_SQL = """(SELECT 'c' || CAST(c_custkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM customer
+               UNION SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR) FROM supplier
+               UNION SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation)"""
+
+
+def keys(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda t, a, x, b, y: table(spark, sf, t).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"))
+    return part("customer", "c", "c_custkey", "n", "c_nationkey").union(part("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(part("nation", "n", "n_nationkey", "r", "n_regionkey"))
+
+
+@query(
+    "common_ancestor",
+    f"""WITH e AS (SELECT * FROM {KEYS_SQL}),
+        up AS (SELECT src, src AS dst, 0 AS depth FROM e UNION SELECT src, dst, 1 FROM e
+               UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src),
+        p AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) AS b
+              FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'P'),
+        m AS (SELECT a, b, x.dst AS ancestor, x.depth + y.depth AS distance,
+                     row_number() OVER (PARTITION BY a, b ORDER BY x.depth + y.depth, x.dst) AS k
+              FROM p JOIN up x ON p.a = x.src JOIN up y ON p.b = y.src AND x.dst = y.dst)
+        SELECT a, b, ancestor, distance FROM m WHERE k = 1""",
+)
+def common_ancestor(spark: SparkSession, sf: str) -> DataFrame:
+    lines_ = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    pairs = table(spark, sf, "orders").where("o_orderstatus = 'P'").join(lines_, F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    return common_ancestors(closure(keys(spark, sf)), pairs)
+
+
+@query("children_by_parent", f"SELECT dst AS parent, count(*) AS n_children, string_agg(src, ',' ORDER BY src) AS children FROM {KEYS_SQL} GROUP BY dst")
+def children_by_parent(spark: SparkSession, sf: str) -> DataFrame:
+    return children(keys(spark, sf))
+
+
+@query(
+    "assignable_to",
+    """SELECT c_custkey, 'c' || CAST(c_custkey AS VARCHAR) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1""",
+)
+def assignable(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("name"))
+    return assignable_to(members, "name", keys(spark, sf), "r1").select("c_custkey", "name")
+
+
+@query(
+    "whole_word_search",
+    r"""SELECT full_path, line_no, trim(line, ' ') AS match_line FROM (
+         SELECT CAST(doc_id AS VARCHAR) AS full_path, unnest(string_split(text, chr(10))) AS line,
+                generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+       WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')""",
+)
+def whole_word_search(spark: SparkSession, sf: str) -> DataFrame:
+    hits = search.text_hits(table(spark, sf, "documents"), "doc_id", "text", "the", whole_word=True)
+    return hits.select("full_path", F.col("line_number").cast("long").alias("line_no"), "match_line")
+
+
+@query(
+    "merged_search",
+    """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS full_path, 1 AS line_number, p_name AS match_line, 'CLASS' AS match_type, 0 AS type_ordinal
+                  FROM part WHERE contains(lower(p_name), 'ring') ORDER BY 1, 2, 3 LIMIT 66),
+       d AS (SELECT CAST(doc_id AS VARCHAR) AS full_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+       t AS (SELECT full_path, CAST(n AS INTEGER), trim(line, ' '), 'CODE_TEXT', 3 FROM d WHERE contains(lower(line), 'ring') ORDER BY 1, 2, 3 LIMIT 66),
+       q AS (SELECT url AS full_path, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages),
+       r AS (SELECT full_path, CAST(n AS INTEGER), min(trim(line, ' ')) AS l, 'RESOURCE', 5 FROM q WHERE contains(lower(line), 'ring') GROUP BY full_path, n ORDER BY 1, 2, 3 LIMIT 66)
+       SELECT * FROM (SELECT * FROM c UNION ALL SELECT * FROM t UNION ALL SELECT * FROM r) ORDER BY type_ordinal, line_number, full_path LIMIT 100""",
+)
+def merged_search(spark: SparkSession, sf: str) -> DataFrame:
+    providers = [
+        search.name_hits(table(spark, sf, "part"), "p_partkey", "p_name", "ring"),
+        search.text_hits(table(spark, sf, "documents"), "doc_id", "text", "ring"),
+        search.text_hits(table(spark, sf, "pages"), "url", "html", "ring", "RESOURCE"),
+    ]
+    return search.merge_hits(providers, 100)
+
+
+@query("resource_extension", r"""SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\.([^.]*)$', 1)) AS ext FROM pages""")
+def resource_extension(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", predicates.extension(F.col("url")).alias("ext"))
+
+
+@query("resource_glob", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^.*/[^/]*1[^/]*$')")
+def resource_glob(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").where(predicates.path_glob(F.col("url"), "**/*1*")).select("page_id", "url")
+
+
+@query("accept_reject", "SELECT p_partkey, p_type FROM part WHERE (starts_with(p_type, 'STANDARD') OR starts_with(p_type, 'PROMO')) AND NOT contains(p_type, 'BRASS')")
+def accept_reject(spark: SparkSession, sf: str) -> DataFrame:
+    kept = predicates.accepted(F.col("p_type"), ["STANDARD*", "PROMO*"], ["*BRASS*"], predicates.simple_glob)
+    return table(spark, sf, "part").where(kept).select("p_partkey", "p_type")
+
+
+@query("first_wins", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_wins_texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content"))
+    return relations.first_wins(docs, ["content"], ["doc_id"]).select("doc_id")
+
+
+@query("duplicate_texts", "SELECT sha256(text) AS content, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.duplicates(table(spark, sf, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("content")), "content")
+
+
+@query("group_by_package", "SELECT CASE WHEN p > 0 THEN left(url, p) ELSE '' END AS package, count(*) AS n FROM (SELECT url, length(url) - length(regexp_extract(url, '([^/]*)$', 1)) - 1 AS p FROM pages) GROUP BY 1")
+def group_by_package(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.group_by_package(table(spark, sf, "pages"), "url")
+
+
+@query("statistics", "SELECT count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE (l_linenumber & 2) <> 0) AS flagged FROM lineitem")
+def statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.statistics(table(spark, sf, "lineitem"), returned=F.col("l_returnflag") == "R", open=F.col("l_linestatus") == "O", flagged=predicates.has_bits(F.col("l_linenumber"), 2))
+
+
+@query("modifier_filter", "SELECT p_partkey, p_size FROM part WHERE (p_size & 32) <> 0 AND (p_size & 7) = 0")
+def modifier_filter(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf, "part").where(predicates.has_bits(size, 32) & predicates.is_package_visible(size)).select("p_partkey", "p_size")
+
+
+@query("annotated_with_all", "SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 3")
+def annotated_with_all(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.annotated_with_all(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("annotated_with_any", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def annotated_with_any(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.annotated_with_any(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+def customer_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, sf, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("is_direct"))
+    b = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("name"), (F.col("o_totalprice") > 200000).alias("is_direct"))
+    return a, b
+
+
+SETS_SQL = """WITH a AS (SELECT c_custkey AS name, bool_or(c_mktsegment = 'BUILDING') AS d FROM customer WHERE c_nationkey < 12 GROUP BY 1),
+              b AS (SELECT o_custkey AS name, bool_or(o_totalprice > 200000) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) """
+
+
+@query("set_union", SETS_SQL + "SELECT name, bool_or(d) AS is_direct FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY name")
+def set_union(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.union(*customer_sets(spark, sf))
+
+
+@query("set_intersect", SETS_SQL + "SELECT name, a.d AND b.d AS is_direct FROM a JOIN b USING (name)")
+def set_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.intersect(*customer_sets(spark, sf))
+
+
+@query("set_exclude", SETS_SQL + "SELECT name, d AS is_direct FROM a WHERE name NOT IN (SELECT name FROM b)")
+def set_exclude(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.exclude(*customer_sets(spark, sf))
+
+
+@query(
+    "resolve_members",
+    """SELECT user_id, event_type, event_id, n - 1 AS n_hidden FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k,
+       count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE k = 1""",
+)
+def resolve_members(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.resolve_members(table(spark, sf, "events").select("user_id", "event_type", "event_id"), "user_id", ["event_type"], ["event_id"])
+
+
+@query("dependencies", "SELECT l_suppkey AS name, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS uses FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE l_suppkey <> l_partkey GROUP BY 1")
+def dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.dependencies(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("externals", "SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def externals(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.externals(table(spark, sf, "lineitem"), "l_partkey", table(spark, sf, "part").where("p_size < 25"), "p_partkey")
+
+
+@query("usages", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'bolt')")
+def usages(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.usages(table(spark, sf, "part"), "p_name", ["ring", "bolt"]).select("p_partkey", "p_name")
+
+
+@query(
+    "nearest_before",
+    """SELECT e.event_id, (SELECT max_by(m.event_id, m.event_id) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND m.event_id <= e.event_id) AS mark
+       FROM events e WHERE e.event_type <> 'purchase'""",
+)
+def nearest_before(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    queries = events.where("event_type <> 'purchase'").select("event_id", "user_id")
+    marks = events.where("event_type = 'purchase'").select("event_id", "user_id", F.col("event_id").alias("mark"))
+    return relations.nearest_before(queries, marks, "user_id", "event_id", "mark").select("event_id", "mark")
+
+
+@query("enclosing_regions", "SELECT o_orderkey AS point, p_partkey AS region FROM orders, part WHERE o_orderkey >= p_partkey * 37 AND o_orderkey < p_partkey * 37 + p_size")
+def enclosing_regions(spark: SparkSession, sf: str) -> DataFrame:
+    regions = table(spark, sf, "part").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") * 37).alias("start"), F.col("p_size").cast("long").alias("length"))
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("point"))
+    return relations.enclosing_regions(points, regions, 64).select("point", "region")
+
+
+@query("cache_trim", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC) AS run FROM documents) WHERE run <= 1000000")
+def cache_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return search.running_trim(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 1_000_000, 100_000)
