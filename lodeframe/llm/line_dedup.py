@@ -45,12 +45,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     frequent = materialize(found.where(F.col("n") >= min_docs).select(F.struct("x", "y").alias("k"), "last", "rows"), "frequent")
     total = frequent.agg(F.sum("rows")).first()[0] or 0
     hits = join_per_key(held.select("id", F.struct("x", "y").alias("k")), frequent, "k", "rows", total)
-    drops = hits.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_set("k").alias("drops"))
+    drops = hits.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_set("k").alias("__drops"))
     # Names of the added columns win over input columns of the same name.
     rows = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")))
     joined = rows.join(drops.withColumnRenamed("id", "__id"), rows[id_col].eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("drops", _digest(x, min_chars)), F.lit(False)))
-    joined = joined.withColumn("__kept", F.when(F.col("drops").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__drops", _digest(x, min_chars)), F.lit(False)))
+    joined = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), lines).otherwise(kept))
     return joined.select(
         *(F.array_join("__kept", "\n").alias(c) if c == text_col else c for c in rows.columns),
         F.size(lines).cast("long").alias("n_lines"),

@@ -95,17 +95,22 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return best[capacity], takes
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix product without threads: the matrices are small, and idle threads of the driver cost more than they give."""
+    return np.einsum("ij,jk->ik", a, b)
+
+
 def generate_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and their (fractional) numbers: the least number of sequences that holds ``demand`` pieces of each size."""
     columns = np.diag((capacity // sizes).astype(float))
-    inverse, x = np.linalg.inv(columns), demand / (capacity // sizes)
+    inverse, x = np.diag(1 / (capacity // sizes)), demand / (capacity // sizes)
     least = demand @ sizes / capacity
     for turn in range(1, MAX_ROUNDS):
         duals = inverse.sum(0)
         value, column = knapsack(sizes, duals, capacity)
         if x.sum() <= (1 + GAP) * max(least, x.sum() / value):
             break
-        step = inverse @ column
+        step = (inverse * column).sum(1)
         ratio = np.divide(x, step, out=np.full(len(x), np.inf), where=step > 1e-9)
         i = int(ratio.argmin())
         if not np.isfinite(ratio[i]):
@@ -113,13 +118,13 @@ def generate_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         x = np.maximum(x - ratio[i] * step, 0)
         x[i] = ratio[i]
         columns[:, i] = column
-        if turn % RENEW:
-            pivot = inverse[i] / step[i]
-            inverse -= np.outer(step, pivot)
-            inverse[i] = pivot
-        else:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
+        pivot = inverse[i] / step[i]
+        inverse -= np.outer(step, pivot)
+        inverse[i] = pivot
+        if turn % RENEW == 0:
+            # One Newton step takes the rounding errors out of the inverse.
+            inverse = 2 * inverse - _times(_times(inverse, columns), inverse)
+            x = np.maximum((inverse * demand).sum(1), 0)
     return columns, x
 
 

@@ -1,0 +1,278 @@
+"""The numbered operators against brute force and the public libraries, on awkward texts."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import lodeframe.llm.queries as Q
+from lodeframe.llm import bpe, exact_dedup, language_id, line_dedup, packing, quality_model, quality_rules, secrets, simhash, token_counts
+
+SF = "/root/testdata/sf0.001"
+SHARED = "This line is shared by quite a lot of documents here."
+KEY = "x7Qp2LmZ9vT4kRw8YbN3cHs6"
+TEXTS = [
+    None, "", " \n\t ", "a", "Hello World, it's 12 <|endoftext|> o'clock ﬁ é́ 日本語 \U0001f600\x00\x85 K", "hello world, it's 12 <|ENDOFTEXT|>",
+    SHARED + "\nown line", "  " + SHARED.upper() + "\t\nsecond\n\n", SHARED, SHARED + "\n" + SHARED, "x\n" + SHARED, "one two three four five six seven",
+    "one two three four five six seven", "One Two three four five six seven", "api_key = \"abcdefghijkl\" token: token: zzzzzzzzzzzzzzzz", "é AKIA" + "Z9" * 8 + " deadbeefdeadbeefdeadbeef password='short'",
+    f"the key {KEY}{KEY} is here", "rep eat it " * 40, "ſecret=abcdefghijklmnop TOKEN=abcdefghijkl", " ".join(f"w{i}" for i in range(3000)) + "\n" + "long " * 3000, "a\r\nb\vc\x1cd",
+]
+TEXT = [t or "" for t in TEXTS]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", None)[i % 2], (None, "h1", "h2")[i % 3], None, "extra") for i, t in enumerate(TEXTS)]
+    # Columns whose names operators use inside.
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string").withColumns({c: F.lit("mine") for c in ("fp", "n_lines", "score", "k", "ids", "n_tokens", "component", "drops")}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: (tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]]) for r in df.collect()}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_bpe(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = by_id(bpe.bpe_decode(bpe.bpe_encode(docs, path), path), "ids", "decoded")
+    for i, t in enumerate(TEXT):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False)), t
+    assert bpe.bpe_encode(empty, path).count() == 0
+
+
+def test_token_counts(docs, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = by_id(token_counts.count_tokens(docs, path), "n_bytes", "n_tokens")
+    assert got == {i: (len(t.encode()), len(library.encode(t))) for i, t in enumerate(TEXT)}
+    counter = token_counts.load(path)
+    assert all(counter.count(t, chunk=c) == len(library.encode(t)) for t in TEXT if len(t) < 5000 for c in (1, 7, 64))
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_secrets(docs, empty):
+    alike = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = re.compile(rf"""((?:{alike}))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    model = secrets.fit_markov(secrets.labelled_samples(docs.sparkSession.read.parquet(f"{SF}/documents.parquet")))
+    found = secrets.find_secrets(docs, model)
+    got = {r["doc_id"]: r for r in found.withColumns({"b": secrets.spans_text(F.col("base_spans")), "s": secrets.spans_text(F.col("spans")), "r": secrets.redact(F.coalesce("text", F.lit("")), F.col("spans"))}).collect()}
+    for i, t in enumerate(TEXT):
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert got[i]["b"] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), t
+        assert set(filter(None, got[i]["b"].split(","))) <= set(got[i]["s"].split(","))
+    added = {i: x for i in got for x in got[i]["s"].split(",") if x.startswith("markov")}
+    # Run 18 is the alphabet in order, which no ordinary word is.
+    assert added == {16: f"markov:8:{8 + 2 * len(KEY)}", 18: "markov:1:23"}
+    assert got[16]["r"] == "the key [SECRET] is here" and got[11]["r"] == TEXT[11]
+    assert secrets.find_secrets(empty, model).count() == 0 and len(secrets.train(empty)) == len(secrets.SYMBOLS) ** 2
+
+
+def brute_fingerprint(text):
+    w = [x.encode() for x in words("".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, empty, spark):
+    got = by_id(simhash.near_duplicates(docs).withColumn("hex", simhash.unsigned_hex("fp")), "hex", "component")
+    assert {i: v[0] for i, v in got.items()} == {i: f"{brute_fingerprint(t):016x}" for i, t in enumerate(TEXT)}
+    assert got[0][1] == got[1][1] == got[2][1] == 0 and got[13][1] == got[12][1] == 11
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_links_match_all_pairs(spark):
+    draw = np.random.default_rng(3)
+    fps = {int(x) for x in draw.integers(0, 2**63, 40)}
+    for f in list(fps)[:12]:
+        for _ in range(40):
+            fps.add(f ^ int(sum(1 << int(b) for b in set(draw.integers(0, 62, 2)))))
+    fps |= {1 << 40 | x for x in range(300)}
+    fps = sorted(fps)
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r[0]: r[1] for r in simhash.components(simhash.links(df)).collect()}
+    assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
+
+
+def test_packing(docs, empty):
+    import tiktoken  # noqa: F401
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    own, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for i, t in enumerate(TEXT):
+        ids, at = [*library.encode(t, add_special_tokens=False).ids, 1], 0
+        for r in sorted(own[i], key=lambda r: r["start"]):
+            part = np.array(ids[at : at + r["length"]], "<u4")
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part.tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_column_generation_places_all_and_is_near_the_bound():
+    draw = np.random.default_rng(1)
+    demand = Counter(int(x) for x in draw.integers(1, 129, 20_000)) | Counter({512: 70, 256: 900})
+    plan = packing.plan_sequences(dict(demand), 512)
+    placed = Counter()
+    for times, takes in plan:
+        assert sum(s * n for s, n in takes) <= 512
+        for s, n in takes:
+            placed[s] += times * n
+    assert placed == demand
+    assert sum(t for t, _ in plan) <= 1.01 * sum(s * n for s, n in demand.items()) / 512 + 1
+    assert packing.plan_sequences({}, 512) == [] and packing.plan_sequences({3: 1}, 512) == [(1, [(3, 1)])]
+
+
+def test_language_id(spark, docs, empty):
+    rows = spark.createDataFrame(Q.op6_language_id(spark, SF).toPandas()).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+    model = language_id.train_language_id(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = by_id(language_id.predict_language(docs, model), "lang_pred", "score")
+    assert [i for i in got if got[i][0] == "und"] == [0, 1, 2] and all(0 <= s <= 1 for _, s in got.values())
+    assert language_id.train_language_id(empty) is None
+    assert set(by_id(language_id.predict_language(docs, None), "lang_pred").values()) == {"und"}
+    long = "abc dé " * 80_000
+    whole = language_id.ngram_counts(long)
+    language_id.STRETCH, kept = 1000, language_id.STRETCH
+    try:
+        assert (language_id.ngram_counts(long) == whole).all()
+    finally:
+        language_id.STRETCH = kept
+
+
+def test_quality_model(spark, docs, empty):
+    rows = Q.op7_quality_model(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int")
+    net = quality_model.train_quality(docs, labels)
+    got = by_id(quality_model.score_quality(docs, net), "score")
+    assert len(got) == len(TEXTS) and all(0 <= s <= 1 for s in got.values()) and got[0] == got[1]
+    assert quality_model.train_quality(empty, labels) is None and set(by_id(quality_model.score_quality(docs, None), "score").values()) == {0.5}
+
+
+def test_attention_gradients():
+    draw = np.random.default_rng(0)
+    x, starts, y = draw.normal(size=(7, quality_model.FEATURES)) * 0.1, np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+    net = quality_model.Network(np.zeros(quality_model.FEATURES), np.ones(quality_model.FEATURES))
+
+    def loss():
+        out = 0
+        for a, b, t in zip(starts, [3, 4, 7], y):
+            h, e = net.passages(x[a:b])
+            w = np.exp(e) / np.exp(e).sum()
+            s = quality_model._sigmoid(w @ h @ net.p["c"] + net.p["d"][0])
+            out -= t * np.log(s) + (1 - t) * np.log(1 - s)
+        return out / 3
+
+    for k, g in net.gradients(x, starts, y).items():
+        at = (0,) * g.ndim
+        net.p[k][at] += 1e-5
+        up = loss()
+        net.p[k][at] -= 2e-5
+        assert abs((up - loss()) / 2e-5 - g[at]) < 1e-6
+        net.p[k][at] += 1e-5
+
+
+def test_quality_rules(docs, empty):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = by_id(quality_rules.judge(docs), *names, "kept")
+    for bits in (quality_rules.POSITION_BITS, 3):
+        quality_rules.POSITION_BITS, kept = bits, quality_rules.POSITION_BITS
+        counts = by_id(quality_rules.rule_counts(docs, "doc_id", "source", "text").withColumnRenamed("id", "doc_id"), *names[:5])
+        quality_rules.POSITION_BITS = kept
+        for i, t in enumerate(TEXT):
+            w = words(t)
+            seen = Counter(zip(w, w[1:], w[2:]))
+            repeat = {j for p in range(len(w) - 2) if seen[tuple(w[p : p + 3])] > 1 for j in range(p, p + 3)}
+            lines = [x for x in t.split("\n") if words(x)]
+            assert counts[i] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeat)), t
+            assert got[i][5] == (len(w) < 50 or 100 * len(repeat) > 50 * len(w)) and not (got[i][5] and got[i][6])
+    assert quality_rules.judge(empty).count() == 0
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def test_line_dedup(docs, empty):
+    got = by_id(line_dedup.dedup_lines(docs), "text", "n_lines", "n_dropped", "fp")
+    holders = defaultdict(set)
+    for i, t in enumerate(TEXT):
+        for x in t.split("\n"):
+            holders[lower(x.strip(" \t\n\v\f\r"))].add(i)
+    for i, t in enumerate(TEXT):
+        keep = [x for x in t.split("\n") if len(k := lower(x.strip(" \t\n\v\f\r"))) < 40 or len(holders[k]) < 5 or max(holders[k]) == i]
+        assert got[i] == ("\n".join(keep), t.count("\n") + 1, t.count("\n") + 1 - len(keep), "mine")
+    assert sum(v[2] for v in got.values()) == 5
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_exact_dedup(docs, empty):
+    twice = docs.union(docs.where("doc_id = 12"))
+    groups = defaultdict(list)
+    for i, t in [*enumerate(TEXT), (12, TEXT[12])]:
+        groups[lower(t)].append(i)
+    want = sorted((i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(twice).collect())) == want
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_pipeline(spark, docs, empty):
+    import corpus_pipeline as C
+
+    assert [len(STAGE) for STAGE in C.STAGES] == [2] * 5
+    out = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        before = out.count()
+        out = spark.createDataFrame(stage(spark, out, SF).collect(), out.schema)
+        assert out.columns == list(C.COLUMNS) and 0.7 * before <= out.count() <= before
+    for _, stage in C.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    base = docs.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    for _, stage in C.STAGES:
+        stage(spark, base, SF).collect()
