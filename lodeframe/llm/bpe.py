@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodeframe.llm.automaton import MergeArcs, Subsets
 
 #: Words kept per Python worker, and rows turned into one output batch.
-MAX_WORDS, ROWS = 400_000, 512
+MAX_WORDS, ROWS = 250_000, 512
 #: The vocabulary's split pattern (fixed value of the tokenizer file), and the same for lower-case Latin-1 text.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LATIN_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
@@ -69,7 +69,7 @@ class WordBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.label = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte = byte_symbols()
-        self.automaton = Subsets({i: self._symbols(t) for t, i in vocab.items()}, arcs)
+        self.automaton = Subsets({i: self._symbols(t) for t, i in vocab.items()}, arcs, max_states=110_000)
         self.words = Words(self.word)
 
     def _symbols(self, token: str) -> list[str]:
