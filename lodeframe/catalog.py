@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeframe.functions import predicates
-from lodeframe.operators import relations, search
+from lodeframe.operators import datasets, overrides, relations, search
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
+from lodeframe.sources.archives import manifest_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,3 +271,95 @@ def enclosing_regions(spark: SparkSession, sf: str) -> DataFrame:
 @query("cache_trim", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC) AS run FROM documents) WHERE run <= 1000000")
 def cache_trim(spark: SparkSession, sf: str) -> DataFrame:
     return search.running_trim(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 1_000_000, 100_000)
+
+
+@query(
+    "manifest_changes",
+    """WITH a AS (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+            b AS (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+       SELECT l_partkey, CASE WHEN a.q IS NULL THEN 'added' WHEN b.q IS NULL THEN 'removed' ELSE 'modified' END AS change
+       FROM a FULL JOIN b USING (l_partkey) WHERE a.q IS DISTINCT FROM b.q""",
+)
+def manifests(spark: SparkSession, sf: str) -> DataFrame:
+    listing = lambda flag: table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.max("l_quantity").alias("q"))
+    return manifest_changes(listing("R"), listing("A"), "l_partkey", ["q"])
+
+
+@query("latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return datasets.latest_wins(table(spark, sf, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+@query(
+    "upsert",
+    """WITH b AS (SELECT o_custkey AS c_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1)
+       SELECT c_custkey, cents FROM b UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM b)""",
+)
+def upsert(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "customer").select("c_custkey", F.lit(0).cast("long").alias("cents"))
+    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    return datasets.upsert(old, new, ["c_custkey"])
+
+
+@query(
+    "directory_tree",
+    """WITH l AS (SELECT DISTINCT list_filter(regexp_split_to_array(url, '[/:]'), lambda x: x <> '') AS l FROM pages),
+       n AS (SELECT l, unnest(range(1, len(l) + 1)) AS d FROM l)
+       SELECT array_to_string(l[1:d], '/') AS path, min(array_to_string(l[1:d - 1], '/')) AS parent_path, min(l[d]) AS name,
+              CAST(min(d) AS INTEGER) AS depth, bool_and(d = len(l)) AS is_leaf FROM n GROUP BY 1""",
+)
+def directory_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return datasets.directory_tree(table(spark, sf, "pages"), "url")
+
+
+@query("dot_text", f"""SELECT 'digraph "keys" {{' || chr(10) || string_agg('  "' || src || '" -> "' || dst || '";', chr(10) ORDER BY src, dst) || chr(10) || '}}' AS dot
+       FROM (SELECT * FROM {KEYS_SQL} ORDER BY src, dst LIMIT 300)""")
+def dot_text(spark: SparkSession, sf: str) -> DataFrame:
+    return datasets.dot_text(keys(spark, sf), 300, "keys")
+
+
+@query(
+    "layers",
+    f"""WITH RECURSIVE e AS (SELECT * FROM {KEYS_SQL}),
+        r(node, layer) AS (SELECT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, layer + 1 FROM r JOIN e ON e.src = r.node)
+        SELECT node, max(layer) AS layer FROM r GROUP BY node""",
+)
+def layers(spark: SparkSession, sf: str) -> DataFrame:
+    return datasets.layers(keys(spark, sf))
+
+
+@query("apply_renames", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_$])license($|[^A-Za-z0-9_$])', '\1licence\2', 'g'),
+       '(^|[^A-Za-z0-9_$])MIT($|[^A-Za-z0-9_$])', '\1mit_license\2', 'g')) AS renamed FROM documents""")
+def apply_renames(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.create_map(*(F.lit(x) for x in ("license", "licence", "MIT", "mit_license")))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(datasets.apply_renames(F.col("text"), names).cast("binary"), 256).alias("renamed"))
+
+
+def segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and nations as classes, market segments as methods: a nation has those of its customers in debt."""
+    own = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("owner"), F.col("c_mktsegment").alias("name"))
+    above = table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("n"), "c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name"))
+    methods = own.union(above.distinct()).withColumns({"descriptor": F.lit("()V"), "modifiers": F.lit(1)})
+    return methods, keys(spark, sf).withColumn("rel", F.lit("extends"))
+
+
+DEBT_SQL = "WITH d AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < 0) "
+
+
+@query("overrides", DEBT_SQL + """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS owner, c_mktsegment AS name, '()V' AS descriptor, 'n' || CAST(c_nationkey AS VARCHAR) AS base
+       FROM customer JOIN d USING (c_nationkey, c_mktsegment)""")
+def override_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return overrides.overrides(*segments(spark, sf))
+
+
+@query("overridden_by", DEBT_SQL + """SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS owner, c_mktsegment AS name, '()V' AS descriptor, 'c' || CAST(c_custkey AS VARCHAR) AS sub
+       FROM customer JOIN d USING (c_nationkey, c_mktsegment)""")
+def overridden_by(spark: SparkSession, sf: str) -> DataFrame:
+    return overrides.overridden_by(*segments(spark, sf))
+
+
+@query("inherited_methods", DEBT_SQL + """SELECT k AS owner, d.c_mktsegment AS name, '()V' AS descriptor, 'n' || CAST(d.c_nationkey AS VARCHAR) AS base FROM
+       (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS k, c_nationkey AS n, c_mktsegment AS s FROM customer
+        UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), s_nationkey, '' FROM supplier) JOIN d ON n = d.c_nationkey AND s <> d.c_mktsegment""")
+def inherited_methods(spark: SparkSession, sf: str) -> DataFrame:
+    return overrides.inherited(*segments(spark, sf))
