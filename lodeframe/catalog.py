@@ -11,6 +11,7 @@ from lodeframe.operators import datasets, overrides, relations, search
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
 from lodeframe.sources.archives import manifest_changes
+from lodeframe.sources.sinks import export_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -328,8 +329,8 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.layers(keys(spark, sf))
 
 
-@query("apply_renames", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_$])license($|[^A-Za-z0-9_$])', '\1licence\2', 'g'),
-       '(^|[^A-Za-z0-9_$])MIT($|[^A-Za-z0-9_$])', '\1mit_license\2', 'g')) AS renamed FROM documents""")
+@query("apply_renames", r"""SELECT doc_id, sha256(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+'),
+       lambda x: CASE x WHEN 'license' THEN 'licence' WHEN 'MIT' THEN 'mit_license' ELSE x END), '')) AS renamed FROM documents""")
 def apply_renames(spark: SparkSession, sf: str) -> DataFrame:
     names = F.create_map(*(F.lit(x) for x in ("license", "licence", "MIT", "mit_license")))
     return table(spark, sf, "documents").select("doc_id", F.sha2(datasets.apply_renames(F.col("text"), names).cast("binary"), 256).alias("renamed"))
@@ -363,3 +364,14 @@ def overridden_by(spark: SparkSession, sf: str) -> DataFrame:
         UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), s_nationkey, '' FROM supplier) JOIN d ON n = d.c_nationkey AND s <> d.c_mktsegment""")
 def inherited_methods(spark: SparkSession, sf: str) -> DataFrame:
     return overrides.inherited(*segments(spark, sf))
+
+
+@query(
+    "export_plan",
+    """WITH t AS (SELECT doc_id, source || '/' || coalesce(lang, 'und') || '.txt' AS t FROM documents),
+       n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM t)
+       SELECT doc_id, CASE WHEN n = 1 THEN t ELSE replace(t, '.txt', '_' || n || '.txt') END AS target FROM n WHERE t IS NOT NULL""",
+)
+def exports(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("und")), F.lit(".txt")).alias("path"))
+    return export_plan(docs, "path", "doc_id", "RENAME").where("action = 'write'").select("doc_id", "target")

@@ -99,4 +99,5 @@ def class_report(roots: DataFrame, methods: DataFrame, edges: DataFrame, most_cl
         out = out.unionByName(part)
     most = F.when(F.col("kind").isin("OVERRIDES", "OVERRIDDEN_BY", "INHERITED"), most_methods).otherwise(most_classes)
     ranked = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("root", "kind").orderBy("item")))
-    return ranked.where(F.col("ordinal") <= most).select("root", "kind", "ordinal", "item")
+    # The first condition, on a literal, lets each task keep only so many rows of a group before the shuffle.
+    return ranked.where((F.col("ordinal") <= max(most_classes, most_methods)) & (F.col("ordinal") <= most)).select("root", "kind", "ordinal", "item")

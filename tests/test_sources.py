@@ -9,7 +9,7 @@ import zipfile
 import pyspark
 from pyspark.sql import functions as F
 
-from lodeframe.sources import archives, classfile
+from lodeframe.sources import archives, classfile, sinks
 
 NOW = datetime.datetime(2024, 1, 2, tzinfo=datetime.timezone.utc)
 
@@ -95,3 +95,16 @@ def test_manifest_changes(spark):
     new = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 1)], "path string, mtime int")
     assert sorted(map(tuple, archives.manifest_changes(old, new, "path", ["mtime"]).collect())) == [("b", "modified"), ("d", "added")]
     assert sorted(map(tuple, archives.manifest_changes(new, old, "path", ["mtime"]).collect())) == [("b", "modified"), ("d", "removed")]
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a/X.txt"), (2, "a\\.\\X.txt"), (3, "../x"), (4, "/etc"), (5, "C:/x"), (6, None), (7, "a//X.txt"), (8, "plain")], "id long, path string")
+    plan = lambda policy: {r.id: (r.action, r.target) for r in sinks.export_plan(df, "path", "id", policy, chunk=2).collect()}
+    bad = {i: ("reject", None) for i in (3, 4, 5, 6)}
+    assert plan("SKIP") == bad | {1: ("write", "a/X.txt"), 2: ("skip", "a/X.txt"), 7: ("skip", "a/X.txt"), 8: ("write", "plain")}
+    assert plan("OVERWRITE") == bad | {1: ("skip", "a/X.txt"), 2: ("skip", "a/X.txt"), 7: ("write", "a/X.txt"), 8: ("write", "plain")}
+    assert plan("RENAME") == bad | {1: ("write", "a/X.txt"), 2: ("write", "a/X_2.txt"), 7: ("write", "a/X_3.txt"), 8: ("write", "plain")}
+    done = sinks.export_plan(df, "path", "id", "SKIP")
+    assert tuple(sinks.export_counts(done).first()) == (2, 2, 4)
+    sinks.export_tables(done, str(tmp_path / "out"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 8]
