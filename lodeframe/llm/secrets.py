@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples by counting neighbouring symbols. A run of token characters is a secret where its log-likelihood
-ratio passes a threshold. The model is a table of (number of symbols) squared, whatever the input. Everything
+labelled samples by counting neighbouring symbols. A run of token characters, or a stretch of one between base
+matches, is a secret where its log-likelihood ratio passes a threshold. The model is a table of (number of symbols) squared, whatever the input. Everything
 runs as DataFrame functions: samples, counts, spans, scores and redaction.
 
 Null and empty texts have no spans. Repeated rows, ties and empty tables need nothing special: with no identifiers
@@ -20,7 +20,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Symbols of the models; a candidate is a whole run of them.
+#: Symbols of the models; a candidate is a run of them, or what the base spans leave of one.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}"
 #: Random strings and documents to learn from (at most about so many), least length and log-likelihood ratio of a secret.
@@ -94,22 +94,41 @@ def log_ratio(string: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(string, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
 
 
+def _outside(run: Column, hit: Column, spans: Column, min_chars: int) -> Column:
+    """Array of (start, kind, end, hit) of the stretches of one run, whose text is ``hit``, outside sorted ``spans``."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+
+    def cut(a: Column, end: Column) -> Column:
+        part = F.struct(a["at"].alias("start"), run["kind"].alias("kind"), end.alias("end"), F.substring(hit, a["at"] - run["start"] + 1, end - a["at"]).alias("hit"))
+        return F.when(end - a["at"] >= min_chars, F.array_append(a["out"], part)).otherwise(a["out"])
+
+    def step(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), cut(a, b["start"]).alias("out"))
+
+    inside = F.filter(spans, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(inside, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda a: cut(a, run["end"]))
+
+
 def find_secrets(docs: DataFrame, model: list[float], min_chars: int = MIN_CHARS, min_ratio: float = MIN_RATIO, text_col: str = "text") -> DataFrame:
     """``docs`` with base_spans and spans, arrays of (start, kind, end) by start and kind; kind indexes ``KINDS``.
 
-    Base spans are all kept. A span of the models is added where it meets no base span.
+    Base spans are all kept. Runs are cut at the borders of base spans; each stretch outside of them that has
+    ``min_chars`` symbols or more is scored by itself.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.withColumns({
         "__assign": _spans(text, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 12),
         "__access": _spans(text, ACCESS, 1),
         "__hex": _spans(text, HEX, 2),
-        "__markov": _spans(text, RUN % min_chars, 3, lambda h: ~h.rlike(f"{ACCESS}|{HEX}") & (log_ratio(h, model) >= min_ratio)),
+        "__runs": _spans(text, RUN % min_chars, 3),
+        "__hits": F.regexp_extract_all(text, F.lit(RUN % min_chars), F.lit(0)),
     })
-    # The two names keep this a projection of its own: base_spans is used twice below.
+    # The names keep these projections of their own: base_spans is used in both that follow.
     found = found.withColumn("base_spans", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    apart = F.filter("__markov", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).drop("__assign", "__access", "__hex", "__markov")
+    parts = F.flatten(F.zip_with("__runs", "__hits", lambda r, h: _outside(r, h, F.col("base_spans"), min_chars)))
+    good = F.filter(parts, lambda x: log_ratio(x["hit"], model) >= min_ratio)
+    markov = F.transform(good, lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", markov))).drop("__assign", "__access", "__hex", "__runs", "__hits")
 
 
 def spans_text(spans: Column) -> Column:
