@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import lodeframe.llm.queries as Q
-from lodeframe.llm import bpe, exact_dedup, language_id, line_dedup, packing, quality_model, quality_rules, secrets, simhash, token_counts
+from lodeframe.llm import bpe, exact_dedup, language_id, line_dedup, near_copies, packing, quality_model, quality_rules, secrets, simhash, token_counts
 
 SF = "/root/testdata/sf0.001"
 SHARED = "This line is shared by quite a lot of documents here."
@@ -148,6 +148,58 @@ def test_simhash_links_match_all_pairs(spark):
     assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
 
 
+def brute_shingles(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def brute_components(sets):
+    """Smallest index reachable over pairs of similarity 0.8 or more."""
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def planted_copies():
+    """Texts with copies in which some words differ, on both sides of the threshold, and a group of more than SMALL."""
+    draw = np.random.default_rng(17)
+    texts = list(TEXTS)
+    for _ in range(30):
+        base = [f"w{x}" for x in draw.integers(0, 5000, draw.integers(60, 300))]
+        texts.append(" ".join(base))
+        for changes in (1, len(base) // 60, len(base) // 45, len(base) // 30):
+            copy = list(base)
+            for at in draw.integers(0, len(base), changes):
+                copy[at] = f"n{draw.integers(0, 10**6)}"
+            texts.append("\n".join(copy).upper())
+    base = [f"v{x}" for x in range(200)]
+    return texts + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 200, 5)]
+
+
+def test_near_dedup_stage_drops_copies_of_similarity_80(spark):
+    import corpus_pipeline as C
+
+    texts = planted_copies()
+    lowest = brute_components([brute_shingles(t) for t in texts])
+    assert 60 < len(set(lowest)) < len(texts) - 80
+    df = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.near_dedup(spark, df, SF).collect()) == sorted(set(lowest))
+
+
 def test_packing(docs, empty):
     import tiktoken  # noqa: F401
     from tokenizers import Tokenizer
