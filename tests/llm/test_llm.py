@@ -200,6 +200,16 @@ def test_near_dedup_stage_drops_copies_of_similarity_80(spark):
     assert sorted(r["doc_id"] for r in C.near_dedup(spark, df, SF).collect()) == sorted(set(lowest))
 
 
+def test_near_dedup_stage_keeps_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    text = lambda n: " ".join(f"u{n}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(5)), (3, text(5)), (3, text(6) + " end"), (9, text(6)), (9, text(7)), (None, text(8)), (None, text(8)), (7, text(3))]
+    df = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_dedup(spark, df, SF).collect()), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (3, text(6) + " end"), (9, text(7)), (None, text(8))], key=str)
+
+
 def test_packing(docs, empty):
     import tiktoken  # noqa: F401
     from tokenizers import Tokenizer
