@@ -1,25 +1,30 @@
 """SimHash near-duplicates: fingerprints, an inverted index over byte positions with count filtering, components.
 
-Two fingerprints of 8 bytes that differ in at most ``d`` bits share at least ``8 - d`` of their positional
-bytes (the guaranteed minimum of the count filter). A plain list per (position, byte) would tally a share of all
-pairs that grows with the square of the corpus, so the index is keyed by sets of positions: an entry for each
-choice of ``8 - d`` positions holds the bytes there. A pair reaches the minimum exactly if it meets in a list, so
-nothing is lost, and a list holds at most 256**d distinct fingerprints whatever the size of the corpus. Inside a
-list the shared positional bytes of pairs are tallied and the bits verified; a list of more than ``SMALL``
-looks its neighbours up among the few values within ``d`` bits instead of forming pairs. A list gives its
-links as a forest (each member with the smallest it reaches there), never all pairs of a group.
+Two fingerprints of 8 bytes that differ in at most ``d`` bits share at least ``8 - d`` of their positional bytes.
+A plain list per (position, byte) would tally a share of all pairs that grows with the square of the corpus, so the
+index is keyed by sets of ``7 - d`` positions, one fewer than are sure to be shared: a linked pair meets in at least
+``C(8 - d, 7 - d)`` lists (6 of 56 at two bits), the guaranteed minimum of the count filter. Pairs are tallied over
+the whole index, those below the minimum are rejected (they share one set by chance), and the bits of the rest are
+verified.
+
+A list of more than ``SMALL`` fingerprints forms no pairs: each looks up the few values within ``d`` bits of it that
+are in the list, and only those are tallied. All lists where a linked pair meets count it, so none is lost. A list
+holds at most 256**(d + 1) distinct fingerprints (134 MB at two bits), whatever the size of the corpus, and a
+fingerprint has at most 2080 others within two bits.
 
 Exact copies share a fingerprint and enter the index once. Components come from alternating large-star and
 small-star rounds over tables in the shared folder.
 
 A null or empty text, or one without a word, has fingerprint zero and is linked like any other. Rows that repeat a
-doc_id are separate members with one id. An empty table gives no rows. Further columns are ignored.
+doc_id are separate members with one id; null ids are members too, and a component of null ids alone has a null id.
+An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 from lodeframe.plans.scratch import materialize
 from lodeframe.plans.skew import join_per_key
 
-BYTES, SMALL, ROWS = 8, 64, 1024
+BYTES, SMALL, ROWS = 8, 32, 1024
+#: Shingles hashed at once.
+PART = 1 << 16
 SEED = 42
 
 
@@ -41,14 +48,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
     total, ones = 0, np.zeros(64, np.int64)
-    while len(h := np.fromiter(_take(shingles := iter(shingles), 1 << 16), np.uint64)):
+    shingles = iter(shingles)
+    while len(h := np.fromiter(_take(shingles, PART), np.uint64)):
         total += len(h)
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def _take(shingles: Iterator[bytes], n: int) -> Iterator[int]:
-    return map(xxhash.xxh64_intdigest, (s for s, _ in zip(shingles, range(n))), repeat(SEED))
+    return map(xxhash.xxh64_intdigest, islice(shingles, n), repeat(SEED))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,64 +78,57 @@ def _mask(positions: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def linked(fps: np.ndarray, bits: int) -> np.ndarray:
-    """For each of the distinct ``fps`` of one list, the index of the smallest it reaches by links inside the list."""
-    n = len(fps)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    if n <= SMALL:
-        both = fps[:, None] ^ fps[None, :]
-        shared = (both[:, :, None].view(np.uint8).reshape(n, n, BYTES) == 0).sum(2)
-        near = (shared >= BYTES - bits) & (np.bitwise_count(both) <= bits)
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
-            join(i, j)
-    else:
-        varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
-        single = [1 << b for b in range(64) if varying >> b & 1]
-        at = {int(f): i for i, f in enumerate(fps)}
-        flips = [sum(c) for k in range(1, bits + 1) for c in combinations(single, k)]
-        for f, i in list(at.items()):
-            for x in flips:
-                j = at.get(f ^ x)
-                if j is not None and j > i:
-                    join(i, j)
-    return np.array([root(i) for i in range(n)])
+def pairs_of(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(larger, smaller) of all pairs within the rows of a matrix, one list a row."""
+    i, j = np.triu_indices(lists.shape[1], 1)
+    x, y = lists[:, i].ravel(), lists[:, j].ravel()
+    return np.maximum(x, y), np.minimum(x, y)
 
 
-def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """(a, b) links, b the smaller, that connect all of the distinct column ``fp`` within ``bits`` bits of each other."""
-    sets = list(combinations(range(BYTES), BYTES - bits))
+def neighbours(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger, smaller) of the pairs within ``bits`` bits among sorted distinct ``fps``, by look-up of changed values."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    single = [1 << b for b in range(64) if varying >> b & 1]
+    for k in range(1, bits + 1):
+        for flip in combinations(single, k):
+            other = fps ^ np.uint64(sum(flip)).view(np.int64)
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            found = (fps[at] == other) & (other < fps)
+            if found.any():
+                yield fps[found], other[found]
+
+
+def tally(distinct: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b, n), b the smaller: in how many lists of the index the fingerprints a and b of column ``fp`` meet.
+
+    Pairs whose lists all are large are only those within ``bits`` bits.
+    """
+    sets = list(combinations(range(BYTES), max(1, BYTES - bits - 1)))
     keys = F.array(*(F.struct(F.lit(i).cast("byte").alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("shared")) for i, s in enumerate(sets)))
     index = distinct.select("fp", F.explode(keys).alias("k"))
-    # A list holds 256 ** bits members at most.
     lists = index.groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
             column = batch.column(0)
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pa.compute.list_value_length(column).to_pylist()])
-            for x, y in zip(ends[:-1], ends[1:]):
-                fps = np.sort(flat[x:y])
-                low = linked(fps.view(np.uint64), bits)
-                moved = low != np.arange(len(fps))
-                a.append(fps[moved])
-                b.append(fps[low[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long").distinct()
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            for n in np.unique(sizes):
+                starts = ends[sizes == n] - n
+                if n <= SMALL:
+                    found = [pairs_of(flat[starts[:, None] + np.arange(n)])]
+                else:
+                    found = (pair for at in starts for pair in neighbours(np.sort(flat[at : at + n]), bits))
+                for a, b in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return lists.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b), b the smaller, of the distinct column ``fp`` within ``bits`` bits of each other: tallied, retained, verified."""
+    retained = tally(distinct, bits).where(F.col("n") >= comb(BYTES - bits, max(1, BYTES - bits - 1)))
+    return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -148,6 +148,30 @@ def test_simhash_links_match_all_pairs(spark):
     assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
 
 
+def test_simhash_counts_every_shingle():
+    for n in (65_535, 65_536, 65_537, 200_000):
+        text = " ".join(f"w{i * i % 9973}" for i in range(n + 2))
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_simhash_tally_retains_only_pairs_that_reach_the_minimum(spark):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 2**62, 200)
+    # Five positional bytes in common (one list), six and seven with few bits changed, seven with eight, and a random rest.
+    fps = {int(x) for b in base for x in (b, b ^ 0x7F55AA, b ^ 0x101, b ^ 0x10000, b ^ 0xFF0000000000)} | {int(x) for x in draw.integers(0, 2**62, 3000)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {(r["a"], r["b"]): r["n"] for r in simhash.tally(df).collect()}
+    raw = [f.to_bytes(8, "big") for f in sorted(fps)]
+    shared = {}
+    for i, y in enumerate(np.array([list(x) for x in raw], np.uint8)):
+        same = (np.array([list(x) for x in raw[i + 1 :]], np.uint8).reshape(-1, 8) == y).sum(1)
+        shared |= {(int.from_bytes(raw[i + 1 + j], "big"), int.from_bytes(raw[i], "big")): int(same[j]) for j in np.flatnonzero(same >= 5)}
+    assert got == {p: {5: 1, 6: 6, 7: 21}[n] for p, n in shared.items()}
+    linked = {tuple(r) for r in simhash.links(df).collect()}
+    assert linked == {p for p in shared if (p[0] ^ p[1]).bit_count() <= 2}
+    assert len(got) > sum(n >= 6 for n in got.values()) > len(linked) > 500
+
+
 def brute_shingles(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
