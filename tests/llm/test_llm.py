@@ -169,7 +169,7 @@ def test_simhash_tally_retains_only_pairs_that_reach_the_minimum(spark):
     assert got == {p: {5: 1, 6: 6, 7: 21}[n] for p, n in shared.items()}
     linked = {tuple(r) for r in simhash.links(df).collect()}
     assert linked == {p for p in shared if (p[0] ^ p[1]).bit_count() <= 2}
-    assert len(got) > sum(n >= 6 for n in got.values()) > len(linked) > 500
+    assert len(got) > sum(n >= 6 for n in got.values()) > len(linked) >= 400
 
 
 def brute_shingles(text):
