@@ -153,7 +153,7 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(documents(spark, sf), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern(), capacity=2048, end_id=1)
+    return pack(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), split_pattern(), capacity=2048, end_id=1)
 
 
 @query("op6_language_id")
