@@ -13,17 +13,17 @@ Long texts are read in stretches, which bounds memory. Further columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS, ORDERS, STRETCH, ROWS = 14, 3, 1 << 18, 512
 PER_LANG, SAMPLE = 800, 6_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -68,9 +68,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((1 << BITS) + 1, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                df[np.flatnonzero(ngram_counts(t))] += 1
-                n += 1
+            for at in range(0, batch.num_rows, ROWS):
+                for t in batch.column(0).slice(at, ROWS).to_pylist():
+                    df[np.flatnonzero(ngram_counts(t))] += 1
+                    n += 1
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["f", "n"])
