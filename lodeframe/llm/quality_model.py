@@ -2,8 +2,9 @@
 
 A document is a bag of passages. Each passage is encoded from the frequencies of its pairs of character classes
 and from word statistics; gated attention weighs the passages, with weights learned from document labels alone;
-the weighted representation is scored. The network is trained on a bounded sample of labelled documents and is a few
-thousand numbers; documents are scored where they lie, in one pass without a shuffle.
+the weighted representation is scored. The network is trained on a bounded sample of labelled documents, of which those
+with more than ``BAG`` passages give that many, evenly spaced, and is a few thousand numbers. Documents are scored
+where they lie, every passage of the whole text, in one pass without a shuffle.
 
 Null and empty texts are one empty passage. Where there are no labels every score is 0.5. Rows are independent, so
 repeated rows and ties need nothing special; a document labelled twice counts twice. Further columns are ignored.
@@ -17,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PASSAGE, SAMPLE, ROWS, PART = 1000, 6_000, 256, 200_000
+#: Characters of a passage; bounds of the training sample in documents, passages of one document and passages in all
+#: (3 KB each on the driver); rows and passages handled at once.
+PASSAGE, SAMPLE, BAG, PASSAGES, ROWS, BLOCK = 1000, 6_000, 64, 40_000, 256, 200
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 30, 64, 3e-3
 #: One class each for these characters; letters, digits, spaces and the rest have classes by kind.
 SINGLE = "\n.,!?:;'\"-_/=()[]{}#*$%&|<>@\\+~^"
@@ -41,45 +44,55 @@ STATS = 8
 FEATURES = KINDS * KINDS + STATS
 
 
+def _repeated(found: list[np.ndarray]) -> np.ndarray:
+    """Per passage, the share of its hashes that an earlier passage has too; whatever their number."""
+    sizes = np.array([len(x) for x in found])
+    hashes, first, back = np.unique(np.concatenate(found), return_index=True, return_inverse=True)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    return np.bincount(owner, owner[first][back] < owner, len(found)) / np.maximum(1, sizes)
+
+
 def encode(text: str | None) -> Iterator[np.ndarray]:
-    """Feature rows of the passages, in blocks of a bounded number of passages."""
+    """Feature rows of the passages, in blocks of a bounded number of passages.
+
+    What is kept for the whole text is 8 bytes a word, so that repeats are seen at any distance.
+    """
     text = text or ""
-    seen_words: set[int] = set()
-    seen_lines: set[int] = set()
-    for at in range(0, max(1, len(text)), PASSAGE * (PART // PASSAGE)):
-        part = text[at : at + PASSAGE * (PART // PASSAGE)]
-        n = max(1, -(-len(part) // PASSAGE))
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        k = CLASSES[np.minimum(c, len(CLASSES) - 1)].astype(np.int64)
-        x = np.zeros((n, FEATURES), np.float32)
+    n = max(1, -(-len(text) // PASSAGE))
+    stats, threes, lines = np.zeros((n, STATS), np.float32), [], []
+    for i in range(n):
+        own = text[i * PASSAGE : (i + 1) * PASSAGE]
+        words = own.split()
+        rows = [hash(s) for s in own.split("\n") if s.strip()]
+        windows = np.fromiter(map(hash, zip(words, words[1:], words[2:])), np.int64)
+        fresh = np.unique(windows)
+        m = max(1, len(words))
+        threes.append(fresh)
+        lines.append(np.array(rows, np.int64))
+        stats[i] = len(set(words)) / m, len(fresh) / max(1, len(windows)), 0, 0, len(own) / m / 10, len(own) / PASSAGE, np.log1p(len(rows)), np.log1p(len(text)) / 10
+    if n > 1:
+        stats[:, 2], stats[:, 3] = _repeated(threes), _repeated(lines)
+    for at in range(0, n, BLOCK):
+        part = text[at * PASSAGE : (at + BLOCK) * PASSAGE]
+        x = np.zeros((min(BLOCK, n - at), FEATURES), np.float32)
+        k = CLASSES[np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), len(CLASSES) - 1)].astype(np.int64)
         if len(k) > 1:
             pairs = k[:-1] * KINDS + k[1:] + (np.arange(len(k) - 1) // PASSAGE) * KINDS * KINDS
-            counts = np.bincount(pairs, minlength=n * KINDS * KINDS).reshape(n, -1)
-            x[:, : KINDS * KINDS] = np.sqrt(counts / PASSAGE)
-        for i in range(n):
-            own = part[i * PASSAGE : (i + 1) * PASSAGE]
-            words = own.split()
-            lines = [hash(s) for s in own.split("\n") if s.strip()]
-            threes = [hash(t) for t in zip(words, words[1:], words[2:])]
-            m = max(1, len(words))
-            fresh = set(threes)
-            x[i, -STATS:] = (
-                len(set(words)) / m,
-                len(fresh) / max(1, len(threes)),
-                sum(t in seen_words for t in fresh) / max(1, len(fresh)),
-                sum(s in seen_lines for s in lines) / max(1, len(lines)),
-                len(own) / m / 10,
-                len(own) / PASSAGE,
-                np.log1p(len(lines)),
-                np.log1p(len(text)) / 10,
-            )
-            if len(seen_words) < PART:
-                seen_words |= fresh
-            if len(seen_lines) < PART:
-                seen_lines.update(lines)
+            x[:, : KINDS * KINDS] = np.sqrt(np.bincount(pairs, minlength=len(x) * KINDS * KINDS).reshape(len(x), -1) / PASSAGE)
+        x[:, -STATS:] = stats[at : at + BLOCK]
         yield x
 
 
+def _spaced(text: str | None, most: int) -> bytes:
+    """Half-precision features of at most ``most`` passages, evenly spaced over the text."""
+    n = max(1, -(-len(text or "") // PASSAGE))
+    wanted, at, out = np.unique(np.arange(most) * n // most) if n > most else np.arange(n), 0, []
+    for x in encode(text):
+        out.append(x[wanted[(wanted >= at) & (wanted < at + len(x))] - at].astype("<f2").tobytes())
+        at += len(x)
+    return b"".join(out)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -133,8 +146,11 @@ class Network:
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Adam with weight decay over shuffled batches of bags."""
-    everything = np.concatenate(bags)
-    net = Network(everything.mean(0), 1 / (everything.std(0) + 0.05))
+    total, squares, n = np.zeros(FEATURES), np.zeros(FEATURES), 0
+    for bag in bags:
+        total, squares, n = total + bag.sum(0, dtype=float), squares + (bag.astype(float) ** 2).sum(0), n + len(bag)
+    mean = total / n
+    net = Network(mean, 1 / (np.sqrt(np.maximum(squares / n - mean * mean, 0)) + 0.05))
     draw = np.random.default_rng(5)
     m, v, turn = {k: 0 * x for k, x in net.p.items()}, {k: 0 * x for k, x in net.p.items()}, 0
     for _ in range(epochs):
@@ -143,30 +159,39 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Net
             own = order[at : at + BATCH]
             starts = np.cumsum([0, *(len(bags[i]) for i in own[:-1])])
             turn += 1
-            for k, g in net.gradients(np.concatenate([bags[i] for i in own]), starts, labels[own]).items():
+            for k, g in net.gradients(np.concatenate([bags[i] for i in own]).astype(np.float32), starts, labels[own]).items():
                 g = g + 1e-4 * net.p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 net.p[k] = net.p[k] - RATE * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.999**turn)) + 1e-8)
     return net
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
-    """Network from a sample, bounded by about ``sample``, of the labelled documents; None without labels."""
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG, passages: int = PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
+    """Network from a sample of the labelled documents; None without labels.
+
+    The sample holds about ``sample`` documents at most, ``bag`` passages of each and about ``passages`` in all, so what
+    the driver collects does not grow with the texts.
+    """
     labels = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
     share = min(1.0, sample / max(1, labels.count()))
-    some = labels.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < round(1e6 * share))
+    drawn = lambda part: F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(round(1e6 * part))
+    some = labels.where(drawn(share))
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(F.broadcast(some), docs[id_col] == F.col("__id"))
+    size = F.least(F.lit(bag), F.ceil(F.greatest(F.coalesce(F.length("__t"), F.lit(0)), F.lit(1)) / PASSAGE))
+    total = rows.agg(F.sum(size)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [b"".join(x.astype("<f2").tobytes() for x in encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "x"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                found = [_spaced(t, bag) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["y", "x"])
 
-    rows = docs.select(id_col, text_col).join(F.broadcast(some), docs[id_col] == F.col("__id")).select("__y", F.col(text_col).cast("string"))
+    rows = rows.where(drawn(share * min(1.0, passages / max(1, total)))).select("__y", "__t")
     taken = sorted((r["y"], bytes(r["x"])) for r in rows.mapInArrow(run, "y double, x binary").collect())
     if not taken:
         return None
-    bags = [np.frombuffer(x, "<f2").reshape(-1, FEATURES).astype(np.float32) for _, x in taken]
-    return fit(bags, np.array([y for y, _ in taken]))
+    return fit([np.frombuffer(x, "<f2").reshape(-1, FEATURES) for _, x in taken], np.array([y for y, _ in taken]))
 
 
 def score_quality(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
