@@ -239,7 +239,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
     own, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         own[r["doc_id"]].append(r)
@@ -257,7 +257,15 @@ def test_packing(docs, empty):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 2048
-    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n" * 1_200_000 + "x", "a" * 1_000_000, "x" + " \t" * 600_000 + "<|endoftext|>"])
+def test_packing_reads_long_runs_as_the_library_does(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.load(path, public_tokenizers.PATTERN).encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def test_column_generation_places_all_and_is_near_the_bound():
@@ -282,6 +290,8 @@ def test_language_id(spark, docs, empty):
     assert [i for i in got if got[i][0] == "und"] == [0, 1, 2] and all(0 <= s <= 1 for _, s in got.values())
     assert language_id.train_language_id(empty) is None
     assert set(by_id(language_id.predict_language(docs, None), "lang_pred").values()) == {"und"}
+    none = spark.createDataFrame([(1, "² ½ Ⅷ 12 _"), (2, "1 日"), (None, "² ½")], "doc_id long, text string")
+    assert {i: v == "und" for i, v in by_id(language_id.predict_language(none, model), "lang_pred").items()} == {1: True, 2: False, None: True}
     long = "abc dé " * 80_000
     whole = language_id.ngram_counts(long)
     language_id.STRETCH, kept = 1000, language_id.STRETCH
@@ -291,6 +301,76 @@ def test_language_id(spark, docs, empty):
         language_id.STRETCH = kept
 
 
+def test_ftrl_against_a_plain_loop():
+    draw = np.random.default_rng(4)
+    examples = [(int(draw.integers(3)), np.sort(draw.choice(6, 3, replace=False)), draw.random(3)) for _ in range(40)]
+    w, b = language_id.ftrl(examples, 3, epochs=2, rate=0.5, l1=0.02, l2=0.01)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, k):
+        if abs(z[f, k]) <= 0.02:
+            return 0.0
+        return (np.copysign(0.02, z[f, k]) - z[f, k]) / ((1 + n[f, k] ** 0.5) / 0.5 + 0.01)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(examples)):
+            label, at, x = examples[i]
+            feats = [*zip(map(int, at), x), ("bias", 1.0)]
+            now = {(f, k): weight(f, k) for f, _ in feats for k in range(3)}
+            logits = [sum(v * now[f, k] for f, v in feats) for k in range(3)]
+            total = sum(np.exp(l) for l in logits)
+            for k in range(3):
+                d = np.exp(logits[k]) / total - (k == label)
+                for f, v in feats:
+                    g = v * d
+                    z[f, k] += g - ((n[f, k] + g * g) ** 0.5 - n[f, k] ** 0.5) / 0.5 * now[f, k]
+                    n[f, k] += g * g
+    assert np.allclose(w[:6], [[weight(f, k) for k in range(3)] for f in range(6)]) and np.allclose(b, [weight("bias", k) for k in range(3)])
+    assert not w[6:].any() and (w[:6] == 0).any()
+
+
+def test_temperature_is_the_best_of_its_grid():
+    draw = np.random.default_rng(6)
+    labels = draw.integers(0, 4, 400)
+    logits = 8 * (np.eye(4)[labels] + draw.normal(0, 0.7, (400, 4)))
+    t = language_id.calibrate(logits, labels)
+
+    def loss(t):
+        e = np.exp(logits / t - (logits / t).max(1, keepdims=True))
+        return -np.mean(np.log((e / e.sum(1, keepdims=True))[np.arange(400), labels] + 1e-12))
+
+    assert all(loss(t) <= loss(x) + 1e-12 for x in np.geomspace(0.05, 20, 121)) and language_id.calibrate(logits[:0], labels[:0]) == 1.0
+
+
+def test_quality_repeats_are_seen_at_any_distance():
+    body = " ".join(f"w{i}" for i in range(260_000)) + "\n"
+    x = np.concatenate(list(quality_model.encode(body + body)))
+    half = len(x) // 2 + 1
+    assert x[: half - 2, -6].max() == 0 and x[half:, -6].mean() > 0.95
+    few = "one two three\nfour five\n" * 200
+    x = np.concatenate(list(quality_model.encode(few)))
+    parts = [few[i : i + 1000] for i in range(0, len(few), 1000)]
+    for i, own in enumerate(parts):
+        threes = set(zip(own.split(), own.split()[1:], own.split()[2:]))
+        before = {t for p in parts[:i] for t in zip(p.split(), p.split()[1:], p.split()[2:])}
+        lines, seen = own.split("\n"), {y for p in parts[:i] for y in p.split("\n")}
+        lines = [y for y in lines if y]
+        assert np.isclose(x[i, -6], len(threes & before) / len(threes)) and np.isclose(x[i, -5], sum(y in seen for y in lines) / len(lines))
+
+
+def test_attention_streams_over_blocks_as_over_all_passages():
+    draw = np.random.default_rng(2)
+    net = quality_model.Network(np.zeros(quality_model.FEATURES), np.ones(quality_model.FEATURES))
+    text = " ".join("".join(draw.choice(list("abcdeF,.9\n"), 6)) for _ in range(60_000))
+    h, e = net.passages(np.concatenate(list(quality_model.encode(text))))
+    w = np.exp(e) / np.exp(e).sum()
+    assert len(h) > 2 * quality_model.BLOCK
+    assert np.isclose(net.score(text), quality_model._sigmoid(w @ h @ net.p["c"] + net.p["d"][0]))
+    taken = np.frombuffer(quality_model._spaced(text, 10), "<f2").reshape(-1, quality_model.FEATURES)
+    assert len(taken) == 10 and np.allclose(taken[5], np.concatenate(list(quality_model.encode(text)))[5 * len(h) // 10], atol=1e-3)
+
+
 def test_quality_model(spark, docs, empty):
     rows = Q.op7_quality_model(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
@@ -358,6 +438,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_and_null_ids_and_long_texts(spark):
+    shared = [f"a line of at least forty characters, number {i:06d}" for i in range(30_000)]
+    rows = [(i, "\n".join(shared) + f"\nown {i}") for i in range(5)]
+    rows += [(7, shared[3] + "\nx"), (7, "y\n" + shared[4].upper()), (None, "z\n" + shared[5]), (None, shared[6]), (2, rows[2][1]), (9, shared[3] + "\n" + shared[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            holders[lower(x)].add(-1 if i is None else i)
+    want = []
+    for i, t in rows:
+        keep = [x for x in t.split("\n") if len(x) < 40 or len(holders[lower(x)]) < 5 or max(holders[lower(x)]) == (-1 if i is None else i)]
+        want.append((i, "\n".join(keep), t.count("\n") + 1, t.count("\n") + 1 - len(keep)))
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_exact_dedup(docs, empty):
     twice = docs.union(docs.where("doc_id = 12"))
     groups = defaultdict(list)
