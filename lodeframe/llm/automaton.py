@@ -17,7 +17,7 @@ rows without the quadratic table. Looked-up arcs are kept.
 ``Subsets`` turns the token automaton into a deterministic one over characters: a state is the set of tokens
 that may be under way (trie node and the token before it), and because prefixes too have one proper
 tokenization, each state knows the last token of the prefix read so far. States are compiled on first use and
-the tables are dropped once they pass a bound, so memory stays bounded on any input.
+the tables are dropped once they pass a bound, also inside a word, so memory stays bounded on any input.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from collections.abc import Callable, Iterable
 
 BASE_TIME = -1
 START = -1
+#: Looked-up arcs kept (about 120 bytes each), and cells of compiled tables (about 100 bytes each; a state has 4, and
+#: one more for each token under way and each transition).
+MAX_PAIRS, MAX_CELLS = 300_000, 800_000
 
 
 class MergeArcs:
@@ -34,7 +37,7 @@ class MergeArcs:
     def __init__(self, merges: Iterable[tuple[int, int, int]], size: int):
         self.entry, self.exit, self.born = list(range(size)), list(range(size)), [BASE_TIME] * size
         self.gone: dict[tuple[int, int], int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for k, (u, v, w) in enumerate(merges):
             self.entry[w], self.exit[w], self.born[w] = u, v, k
             self.gone[u, v] = k
@@ -42,11 +45,12 @@ class MergeArcs:
                 self.gone[u, w] = k
 
     def __call__(self, x: int, y: int) -> bool:
-        found = self.known.get((x, y))
+        pair = x * len(self.born) + y
+        found = self.known.get(pair)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) >= MAX_PAIRS:
                 self.known.clear()
-            found = self.known[x, y] = self._exists(x, y)
+            found = self.known[pair] = self._exists(x, y)
         return found
 
     def _exists(self, x: int, y: int) -> bool:
@@ -72,8 +76,8 @@ class Subsets:
     with ``counting`` off it is not kept apart, which needs fewer states.
     """
 
-    def __init__(self, spelling: dict[int, Iterable[str]], joins: Callable[[int, int], bool], counting: bool = False, max_states: int = 180_000):
-        self.joins, self.counting, self.max_states = joins, counting, max_states
+    def __init__(self, spelling: dict[int, Iterable[str]], joins: Callable[[int, int], bool], counting: bool = False, max_cells: int = MAX_CELLS):
+        self.joins, self.counting, self.max_cells = joins, counting, max_cells
         self.child: list[dict[str, int]] = [{}]
         self.token = [START]
         self.length: dict[int, int] = {}
@@ -91,7 +95,8 @@ class Subsets:
         self.reset()
 
     def reset(self) -> None:
-        """Forget all compiled states but the first."""
+        """Forget all compiled states but the first. A walk goes on from the row it holds."""
+        self.cells = 0
         first = (self._pack(0, START, 0),)
         self.first: dict = {None: first}
         self.rows = {first: self.first}
@@ -116,20 +121,19 @@ class Subsets:
             raise KeyError(symbol)
         less = emitted if self.counting else 0
         key = (*(self._pack(n, b, c - less) for n, b, c in under_way), self._pack(0, found, 0))
+        if self.cells > self.max_cells:
+            self.reset()
         to = self.rows.get(key)
         if to is None:
             to = self.rows[key] = {None: key}
+            self.cells += 4 + len(key)
+        self.cells += 1
         row[symbol] = to, emitted, found
         return row[symbol]
 
-    def _begin(self) -> dict:
-        if len(self.rows) > self.max_states:
-            self.reset()
-        return self.first
-
     def count(self, symbols: Iterable[str]) -> int:
         """Number of tokens: the sum of what the transitions emit (needs ``counting``)."""
-        row, total = self._begin(), 0
+        row, total = self.first, 0
         for c in symbols:
             try:
                 row, emitted, _ = row[c]
@@ -140,7 +144,7 @@ class Subsets:
 
     def tokens(self, symbols: Iterable[str]) -> list[int]:
         """The proper tokenization: arcs read backwards from the end of the word."""
-        row, ends = self._begin(), []
+        row, ends = self.first, []
         for c in symbols:
             try:
                 row, _, last = row[c]

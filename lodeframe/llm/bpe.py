@@ -2,7 +2,8 @@
 
 The merges of a ``tokenizers`` file are compiled into a deterministic automaton (see ``automaton``); words
 split as the file's pre-tokenizer splits them are encoded by its table of transitions and decoded by emitting
-the labels of the arcs. Each Python worker compiles the automaton once and keeps a bounded table of words.
+the labels of the arcs. Each Python worker compiles the automaton once and keeps a bounded table of short words; tables
+are bounded in bytes whatever the texts hold.
 
 Null and empty texts give no tokens. Rows are independent: repeated rows, ties and empty tables need nothing
 special, any further input columns are ignored.
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.llm.automaton import MergeArcs, Subsets
 
-#: Words kept per Python worker, and rows turned into one output batch.
-MAX_WORDS, ROWS = 250_000, 512
-#: The vocabulary's split pattern (fixed value of the tokenizer file), and the same for lower-case Latin-1 text.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words kept per Python worker, their greatest length, and rows turned into one output batch.
+MAX_WORDS, LONG, ROWS = 150_000, 60, 256
+#: Fixed value: the split pattern of the files that are supported. LATIN_SPLIT is the same for lower-case Latin-1 text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = regex.compile(PATTERN)
 LATIN_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
 #: Characters that the Latin-1 pattern, Python's white space or Python's lower case would treat otherwise.
 UNUSUAL = re.compile("[\x1c-\x1f\x85ª²³µ¹º¼-¾\u0100-\U0010ffff]")
@@ -41,7 +43,11 @@ class Words(dict):
         self.make = make
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = out = self.make(word)
+        out = self.make(word)
+        if len(word) <= LONG:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -62,6 +68,9 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
+        first = spec["pre_tokenizer"]["pretokenizers"][0]
+        if first["pattern"] != {"Regex": PATTERN} or not first["invert"] or [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("only files with this split pattern, NFC and lower case are supported")
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         arcs = MergeArcs([(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], max(vocab.values()) + 1)
@@ -69,7 +78,7 @@ class WordBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.label = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte = byte_symbols()
-        self.automaton = Subsets({i: self._symbols(t) for t, i in vocab.items()}, arcs, max_states=110_000)
+        self.automaton = Subsets({i: self._symbols(t) for t, i in vocab.items()}, arcs)
         self.words = Words(self.word)
 
     def _symbols(self, token: str) -> list[str]:
@@ -95,8 +104,6 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         """Packed 32-bit ids of a whole text; strings of special tokens inside it are those tokens."""
         words, out = self.words, []
-        if len(words) > MAX_WORDS:
-            words.clear()
         for k, part in enumerate(self.special_re.split(text) if "<|" in text else (text,)):
             if k % 2:
                 out.append(array("i", [self.special[part]]).tobytes())
