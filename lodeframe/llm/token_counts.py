@@ -6,12 +6,15 @@ a character before the word mark U+2581, or Latin letters beside other character
 start state at such places (resets) and the stretch between two of them (a unit) always adds the same count; a
 bounded table keeps it.
 
-A long text is read in chunks cut at any character. What a chunk does is a map from the state before it to the
-state after it and a count: ``Chunk`` holds it as the characters up to its first reset (whose count depends on
-the state before), the count from there to its last reset, and the characters after that. Maps compose
-associatively, so ``scan`` combines them by a parallel prefix (each round joins neighbours at doubled distance).
-
-Null and empty texts have zero tokens; repeated rows, ties and empty tables need nothing special.
+A long text is read in chunks cut at any character. The state at a cut is the token that holds the character before
+it, and where that token ends. What a chunk does is a map from each state that its cut allows (the pieces found there in the
+text, at most the square of the longest piece) to the state at its end and a count: the transducer is run from all
+states at once, and runs that reach the same token at the same place go on as one. A proper tokenization is unique, so
+each pair of states has one count at most. Between resets the compiled table does the work. Maps compose
+associatively, so ``scan`` combines them by a parallel prefix (each round joins neighbours at doubled distance); the map
+of the whole text has the one count. The chunks of a text are read by its task.
+
+Null and empty texts have zero tokens; repeated rows, null ids, ties and empty tables need nothing special.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodeframe.llm.automaton import Subsets
+from lodeframe.llm.automaton import MAX_PAIRS, START, Subsets
 
-#: Units kept per Python worker, characters of a chunk, and length beyond which units are not kept.
-MAX_UNITS, CHUNK, LONG = 400_000, 1 << 18, 100
+#: Units kept per Python worker, characters of a chunk, length beyond which units are not kept, rows read at once.
+MAX_UNITS, CHUNK, LONG, ROWS = 200_000, 1 << 18, 60, 256
+#: The state after a character without a piece, and at the start of a text: any token may follow.
+FREE = START
 MARK = "▁"
 #: A unit: Latin letters, or other characters, with the marks in front of them.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -46,16 +50,15 @@ class Units(dict):
     def __missing__(self, unit: str) -> int:
         out = self.make(unit)
         if len(unit) <= LONG:
+            if len(self) >= MAX_UNITS:
+                self.clear()
             self[unit] = out
         return out
 
 
-class Chunk(NamedTuple):
-    """``head`` before the first reset, ``count`` between resets, ``tail`` after the last; count None: no reset inside."""
-
-    head: str
-    count: int | None
-    tail: str
+#: (token, characters of it after the cut) -> the same at the next cut -> tokens emitted.
+State = tuple[int, int]
+Map = dict[State, dict[State, int]]
 
 
 class PieceCounter:
@@ -82,15 +85,17 @@ class PieceCounter:
         self.unknown = re.compile("[^" + re.escape("".join(sorted(self.single))) + "]")
         if not {c for _, p, _ in normal for c in p} <= self.single:
             raise ValueError("every character of a piece must be a piece")
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.longest = max(len(p) for _, p, _ in normal)
         self.transducer = Subsets({i: p for i, p, _ in normal}, self._joins, counting=True)
         self.units = Units(self.unit)
 
     def _joins(self, x: int, y: int) -> bool:
         """Whether x, y is a proper pair: merging their text anew, best score and then leftmost first, gives them back."""
-        found = self.known.get((x, y))
+        pair = x << 32 | y
+        found = self.known.get(pair)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) >= MAX_PAIRS:
                 self.known.clear()
             a, b, score = self.text[x], self.text[y], self.score
             parts = [*a, *b]
@@ -103,7 +108,7 @@ class PieceCounter:
                 if at < 0:
                     break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            found = self.known[x, y] = parts == [a, b]
+            found = self.known[pair] = parts == [a, b]
         return found
 
     def unit(self, text: str) -> int:
@@ -115,30 +120,76 @@ class PieceCounter:
 
     def marked(self, text: str) -> int:
         """Tokens of marked text that begins and ends at a reset."""
-        if len(self.units) > MAX_UNITS:
-            self.units.clear()
         return sum(map(self.units.__getitem__, UNIT.findall(text)))
 
-    def chunk(self, text: str) -> Chunk:
-        """The map of one chunk of marked text: resets lie between a character and the mark that follows it."""
-        first = RESET.search(text)
-        if not first:
-            return Chunk(text, None, "")
-        last = len(text) - 1
-        while not (text[last] == MARK and text[last - 1] != MARK):
-            last -= 1
-        at = first.start() + 1
-        return Chunk(text[:at], self.marked(text[at:last]), text[last:])
-
-    def compose(self, a: Chunk, b: Chunk) -> Chunk:
+    def pieces_from(self, text: str, i: int) -> Iterator[tuple[int, int]]:
+        """(token, end) of the pieces that begin at i; a character without a piece ends in the state FREE."""
+        child, token, node = self.transducer.child, self.transducer.token, 0
+        if text[i] not in self.single:
+            yield FREE, i + 1
+            return
+        for j in range(i, min(len(text), i + self.longest)):
+            node = child[node].get(text[j])
+            if node is None:
+                return
+            if token[node] != START:
+                yield token[node], j + 1
+
+    def states(self, text: str, cut: int) -> list[State]:
+        """All states that ``cut`` allows."""
+        if not cut:
+            return [(FREE, 0)]
+        begin = range(max(0, cut - self.longest), cut)
+        return [(t, end - cut) for i in begin for t, end in self.pieces_from(text, i) if end >= cut]
+
+    def run(self, text: str, entries: dict[State, dict], start: int, stop: int) -> dict[State, dict]:
+        """The origins, with counts, that reach each state at ``stop`` from the states ``entries`` at ``start``."""
+        at: dict[int, dict[int, tuple[dict, int]]] = {}
+        out: dict[State, tuple[dict, int]] = {}
+
+        def arrive(token: int, end: int, origins: dict, more: int) -> None:
+            place, key = (out, (token, end - stop)) if end >= stop else (at.setdefault(end, {}), token)
+            if key in place:
+                before, less = place[key]
+                origins, more = {k: n + less for k, n in before.items()} | {k: n + more for k, n in origins.items()}, 0
+            place[key] = origins, more
+
+        for (token, rest), origins in entries.items():
+            arrive(token, start + rest, origins, 0)
+        for i in range(start, stop):
+            here = at.pop(i, None)
+            if here:
+                for token, end in self.pieces_from(text, i):
+                    emitted = 1 if token != FREE else len(text[i].encode())
+                    for before, (origins, n) in here.items():
+                        if FREE in (before, token) or self._joins(before, token):
+                            arrive(token, end, origins, n + emitted)
+        return {s: {k: n + more for k, n in origins.items()} for s, (origins, more) in out.items()}
+
+    def chunk(self, text: str, start: int, stop: int) -> Map:
+        """The map of text[start:stop], a stretch of marked text. At a reset every state is as good as FREE."""
+        entries: dict[State, dict] = {s: {s: 0} for s in self.states(text, start)}
+        first = RESET.search(text, start, stop)
+        if first:
+            at, last = first.start() + 1, stop - 1
+            while not (text[last] == MARK and text[last - 1] != MARK):
+                last -= 1
+            reached: dict = {}
+            for origins in self.run(text[:at], entries, start, at).values():
+                reached |= {k: n + self.marked(text[at:last]) for k, n in origins.items()}
+            entries, start = {(FREE, 0): reached}, last
+        out: Map = {}
+        for exit, origins in self.run(text, entries, start, stop).items():
+            for entry, n in origins.items():
+                out.setdefault(entry, {})[exit] = n
+        return out
+
+    @staticmethod
+    def compose(a: Map, b: Map) -> Map:
         """The map of chunk a followed by chunk b."""
-        if a.count is None:
-            return Chunk(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return Chunk(a.head, a.count, a.tail + b.head)
-        return Chunk(a.head, a.count + self.marked(a.tail + b.head) + b.count, b.tail)
+        return {s: {e: n + m for via, n in exits.items() for e, m in b.get(via, {}).items()} for s, exits in a.items()}
 
-    def scan(self, maps: list[Chunk]) -> list[Chunk]:
+    def scan(self, maps: list[Map]) -> list[Map]:
         """Inclusive prefix scan in log2(n) rounds of independent compositions."""
         step = 1
         while step < len(maps):
@@ -153,8 +204,12 @@ class PieceCounter:
         text = self.prefix + text.replace(" ", MARK)
         if len(text) <= chunk:
             return self.marked(text)
-        whole = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
-        return self.marked(whole.head) + (whole.count or 0) + self.marked(whole.tail)
+        # A chunk sees the pieces that cross its cuts, and nothing beyond.
+        reach, maps = self.longest, []
+        for at in range(0, len(text), chunk):
+            low, high = max(0, at - reach), min(len(text), at + chunk + reach)
+            maps.append(self.chunk(text[low:high], at - low, min(len(text), at + chunk) - low))
+        return self.scan(maps)[-1][FREE, 0].popitem()[1]
 
 
 @lru_cache(maxsize=2)
@@ -168,7 +223,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(model)
         for whole in batches:
-            counts = [counter.count(t) if t else 0 for t in whole.column(1).to_pylist()]
+            counts = [counter.count(t) if t else 0 for at in range(0, whole.num_rows, ROWS) for t in whole.column(1).slice(at, ROWS).to_pylist()]
             yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(2), pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

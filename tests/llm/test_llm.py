@@ -70,6 +70,35 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_of_chunks_without_a_reset():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, counter, draw = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.load(path), np.random.default_rng(9)
+    cjk = "".join(chr(c) for c in draw.integers(0x4E00, 0x5500, 2000))
+    texts = [cjk, "日本語テキスト" * 40, "aaaa" * 100, "the" * 200, "a b  c   d\n\n\n\tx" * 20, "\U0001f600é" * 50 + "x", "ﬁ\x00\x85ab" * 30, "<s> </s> <unk>" * 9, "▁▁a▁" * 20]
+    for t in texts:
+        assert {counter.count(t, chunk=c) for c in (1, 2, 7, 64, 1000)} == {len(library.encode(t))}, t[:20]
+    # A map has a count for each state its cut allows that leads on, and the whole text has one.
+    marked = "▁" + cjk
+    halves = [counter.chunk(marked, 0, 1000), counter.chunk(marked, 1000, len(marked))]
+    assert set(halves[0]) == {(token_counts.FREE, 0)} and set(halves[1]) <= set(counter.states(marked, 1000))
+    assert [len(m) for m in counter.compose(*halves).values()] == [1]
+    long = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    assert counter.count(long) == len(library.encode(long))
+
+
+def test_tables_stay_bounded_inside_a_word():
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(9)
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    own.automaton.max_cells = 20_000
+    text = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.automaton.cells <= 20_100 and len(own.automaton.rows) < 5_000 and not own.words
+
+
 def test_secrets(docs, empty):
     alike = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     assign = re.compile(rf"""((?:{alike}))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
