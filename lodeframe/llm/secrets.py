@@ -2,11 +2,13 @@
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from
 labelled samples by counting neighbouring symbols. A run of token characters, or a stretch of one between base
-matches, is a secret where its log-likelihood ratio passes a threshold. The model is a table of (number of symbols) squared, whatever the input. Everything
-runs as DataFrame functions: samples, counts, spans, scores and redaction.
+matches, is a secret where its log-likelihood ratio passes a threshold. The model is a table of (number of symbols)
+squared, whatever the input. Everything runs as DataFrame functions: samples, counts, spans, scores and redaction.
+Positions are running totals over arrays, in blocks of the square root of their length, since appending to an array copies
+it: a text with n matches costs n ** 1.5 steps.
 
-Null and empty texts have no spans. Repeated rows, ties and empty tables need nothing special: with no identifiers
-to learn from, the ordinary model is uniform. Further columns stay, those named as an added one are replaced.
+Null and empty texts have no spans. Repeated rows, null ids, ties and empty tables need nothing special: with no
+identifiers to learn from, the ordinary model is uniform. Further columns stay, those named as an added one are replaced.
 """
 
 from __future__ import annotations
@@ -27,30 +29,96 @@ RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}"
 SAMPLE_STRINGS, SAMPLE_DOCS, MIN_CHARS, MIN_RATIO = 6_000, 5_000, 20, 12.0
 
 
-def _spans(text: Column, pattern: str, kind: int, accept=None) -> Column:
-    """Array of (start, kind, end) of the leftmost non-overlapping matches that ``accept`` takes, in code points.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The gaps between matches and the matches alternate, so one pass over their lengths gives the positions.
+
+def _blocks(array: Column) -> Column:
+    return F.ceil(F.sqrt(F.size(array))).cast("int")
+
+
+def _running(values: Column, merge) -> Column:
+    """Running totals of an array of integers from zero on; ``merge`` is associative."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), merge)
+
+    def inside(part: Column, base: Column) -> Column:
+        return F.transform(part, lambda _, j: merge(base, total(F.slice(part, F.lit(1), j + 1))))
+
+    def of(v: Column) -> Column:
+        parts = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / n).cast("int")), lambda i: F.slice(v, i * n + 1, n))
+        shifted = lambda ps: _let(F.transform(ps, total), lambda sums: F.transform(ps, lambda p, i: _let(total(F.slice(sums, F.lit(1), i)), lambda base: inside(p, base))))
+        return F.flatten(_let(_let(_blocks(v), parts), shifted))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(v))
+
+
+def _pieces(text: Column, bounds: Column) -> Column:
+    """The stretches of a text between neighbouring positions of a sorted array; blocks of them are cut first."""
+
+    def inside(t: Column, p: Column) -> Column:
+        whole = F.substring(t, F.get(p, F.lit(0)) + 1, F.get(p, F.size(p) - 1) - F.get(p, F.lit(0)))
+        return _let(whole, lambda s: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda end, j: F.substring(s, F.get(p, j) - F.get(p, F.lit(0)) + 1, end - F.get(p, j))))
+
+    def of(t: Column, v: Column, n: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 2) / n).cast("int")), lambda i: _let(F.slice(v, i * n + 1, n + 1), lambda p: inside(t, p))))
+
+    return _let(text, lambda t: _let(bounds, lambda v: _let(_blocks(v), lambda n: of(t, v, n))))
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with ``by(stretch, whether a span begins it)`` in place of the stretches that sorted ``spans`` cover."""
+
+    def of(sp: Column, most: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(most, F.when(i > 0, i - 1)), F.lit(0))
+        fresh = F.transform(sp, lambda s, i: s["start"] >= before(i))
+        bounds = F.flatten(F.transform(sp, lambda s, i: F.array(F.greatest(s["start"], before(i)), F.get(most, i))))
+        bounds = F.concat(F.array(F.lit(0)), bounds, F.array(F.length(text)))
+        even = lambda i: F.pmod(i, F.lit(2)) == 0
+        return _let(fresh, lambda f: F.array_join(F.transform(_pieces(text, bounds), lambda p, i: F.when(even(i), p).otherwise(by(p, F.get(f, ((i - 1) / 2).cast("int"))))), ""))
+
+    whole = _let(spans, lambda sp: _let(_running(F.transform(sp, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda most: of(sp, most)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """Array of (start, kind, end, hit) of the leftmost non-overlapping matches, in code points.
+
+    Gaps between matches and matches alternate, so running totals of their lengths give the positions. Only texts with a
+    match are split.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    parts = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+
+    def of(hits: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: g + F.length(h))
+        return F.zip_with(_running(lengths, lambda a, b: a + b), hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), h.alias("hit")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, of(hits)).otherwise(none))
+
+
+def _places(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """Sorted (start, kind, end) of the matches of the fixed patterns."""
+    assign = F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 12)
+    return F.array_sort(F.concat(_places(assign), _places(_spans(text, ACCESS, 1)), _places(_spans(text, HEX, 2))))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        good = x["hit"].isNotNull() if accept is None else x["hit"].isNotNull() & F.coalesce(accept(x["hit"]), F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks, which are no symbols of the models, in place of all that sorted ``spans`` cover."""
+    return _replaced(text, spans, lambda piece, fresh: F.repeat(F.lit(" "), F.length(piece)))
 
 
 def labelled_samples(docs: DataFrame, strings: int = SAMPLE_STRINGS, doc_bound: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sample, is_random): random strings over usual alphabets, and ordinary runs of a bounded sample of documents.
 
-    The documents are those with the smallest hashes, about ``doc_bound`` of them; runs that hold a base match are
-    left out. The random strings are digests of counters, so they are the same on every run.
+    The documents are those with the smallest hashes, about ``doc_bound`` of them; what base matches cover, values of
+    assignments included, is left out. The random strings are digests of counters, so they are the same on every run.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -58,8 +126,9 @@ def labelled_samples(docs: DataFrame, strings: int = SAMPLE_STRINGS, doc_bound:
     random = spark.range(strings).select(F.get(alphabets, F.pmod("id", F.lit(5)).cast("int")).alias("sample"), F.lit(True).alias("is_random"))
     part = min(1.0, doc_bound / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(round(part * 1_000_000)))
-    runs = some.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUN % 5), F.lit(0))).alias("sample"))
-    ordinary = runs.where(~F.col("sample").rlike(f"{ACCESS}|{HEX}")).withColumn("is_random", F.lit(False))
+    some = some.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    some = some.withColumn("b", base_spans(F.col("t"))).withColumn("open", blanked(F.col("t"), F.col("b")))
+    ordinary = some.select(F.explode(F.regexp_extract_all("open", F.lit(RUN % 5), F.lit(0))).alias("sample"), F.lit(False).alias("is_random"))
     return random.unionByName(ordinary)
 
 
@@ -94,21 +163,6 @@ def log_ratio(string: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(string, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
 
 
-def _outside(run: Column, hit: Column, spans: Column, min_chars: int) -> Column:
-    """Array of (start, kind, end, hit) of the stretches of one run, whose text is ``hit``, outside sorted ``spans``."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
-
-    def cut(a: Column, end: Column) -> Column:
-        part = F.struct(a["at"].alias("start"), run["kind"].alias("kind"), end.alias("end"), F.substring(hit, a["at"] - run["start"] + 1, end - a["at"]).alias("hit"))
-        return F.when(end - a["at"] >= min_chars, F.array_append(a["out"], part)).otherwise(a["out"])
-
-    def step(a: Column, b: Column) -> Column:
-        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), cut(a, b["start"]).alias("out"))
-
-    inside = F.filter(spans, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return F.aggregate(inside, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda a: cut(a, run["end"]))
-
-
 def find_secrets(docs: DataFrame, model: list[float], min_chars: int = MIN_CHARS, min_ratio: float = MIN_RATIO, text_col: str = "text") -> DataFrame:
     """``docs`` with base_spans and spans, arrays of (start, kind, end) by start and kind; kind indexes ``KINDS``.
 
@@ -116,19 +170,10 @@ def find_secrets(docs: DataFrame, model: list[float], min_chars: int = MIN_CHARS
     ``min_chars`` symbols or more is scored by itself.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumns({
-        "__assign": _spans(text, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 12),
-        "__access": _spans(text, ACCESS, 1),
-        "__hex": _spans(text, HEX, 2),
-        "__runs": _spans(text, RUN % min_chars, 3),
-        "__hits": F.regexp_extract_all(text, F.lit(RUN % min_chars), F.lit(0)),
-    })
-    # The names keep these projections of their own: base_spans is used in both that follow.
-    found = found.withColumn("base_spans", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    parts = F.flatten(F.zip_with("__runs", "__hits", lambda r, h: _outside(r, h, F.col("base_spans"), min_chars)))
-    good = F.filter(parts, lambda x: log_ratio(x["hit"], model) >= min_ratio)
-    markov = F.transform(good, lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", markov))).drop("__assign", "__access", "__hex", "__runs", "__hits")
+    # Columns of their own, each used more than once, so that none is computed again inside another.
+    found = docs.withColumn("base_spans", base_spans(text)).withColumn("__open", blanked(text, F.col("base_spans")))
+    good = F.filter(_spans(F.col("__open"), RUN % min_chars, 3), lambda s: log_ratio(s["hit"], model) >= min_ratio)
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", _places(good)))).drop("__open")
 
 
 def spans_text(spans: Column) -> Column:
@@ -143,16 +188,7 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with each stretch covered by sorted ``spans`` replaced by ``mark``."""
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.when(
-            s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.array_append(a["out"], F.concat(gap, F.lit(mark))).alias("out"))
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    none = F.array().cast("array<string>")
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return _replaced(text, spans, lambda piece, fresh: F.when(fresh, F.lit(mark)).otherwise(F.lit("")))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:

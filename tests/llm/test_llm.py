@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,6 +139,42 @@ def test_secrets_beside_base_matches(spark):
     assert got[4][0] == "hex:48:64" and got[5][0] == "hex:20:36"
 
 
+def test_secrets_scores_against_a_plain_sum_and_held_out_samples(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, unseen = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    samples = secrets.labelled_samples(seen).cache()
+    assert samples.where("NOT is_random").where(F.col("sample").rlike(secrets.HEX)).count() == 0
+    model, k = secrets.fit_markov(samples), len(secrets.SYMBOLS)
+    random = secrets.labelled_samples(seen, strings=7000).where("is_random").exceptAll(samples.where("is_random"))
+    # Lower-case digits of base 16 are base matches, not the model's.
+    random = random.where(~F.col("sample").rlike(secrets.HEX)).withColumn("sample", F.substring("sample", 1, 24))
+    ordinary = secrets.labelled_samples(unseen, strings=0).where(F.length("sample") >= 20).distinct()
+    scored = random.unionByName(ordinary).withColumn("r", secrets.log_ratio(F.col("sample"), model)).collect()
+    for r in scored[:200]:
+        at = [secrets.SYMBOLS.index(c) for c in r["sample"]]
+        assert abs(r["r"] - sum(model[a * k + b] for a, b in zip(at, at[1:]))) < 1e-5
+    hits = [(r["is_random"], r["r"] >= secrets.MIN_RATIO) for r in scored]
+    found, right = sum(y for _, y in hits), sum(x and y for x, y in hits)
+    assert sum(x for x, _ in hits) == 800 and right >= 0.98 * 800 and right >= 0.98 * found, (right, found)
+
+
+def test_secrets_values_of_assignments_are_no_ordinary_samples(spark):
+    docs = spark.createDataFrame([(1, f"api_key = '{KEY}' plain_word {KEY}x")], "doc_id long, text string")
+    got = [r["sample"] for r in secrets.labelled_samples(docs, strings=0).collect()]
+    assert got == ["plain_word", KEY + "x"]
+
+
+def test_secrets_with_many_matches_in_a_text(spark):
+    n = 40_000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    model = [0.0] * len(secrets.SYMBOLS) ** 2
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.find_secrets(df, model).withColumn("r", secrets.redact(F.col("text"), F.col("spans"))).first()
+    assert [tuple(s) for s in row["spans"]] == [(17 * i, 2, 17 * i + 16) for i in range(n)]
+    assert row["r"] == " ".join(["[SECRET]"] * n) and time.time() - began < 20
+
+
 def brute_fingerprint(text):
     w = [x.encode() for x in words("".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
     shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
