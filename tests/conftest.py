@@ -11,6 +11,16 @@ from pyspark.sql import SparkSession  # noqa: E402
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+@pytest.fixture(autouse=True)
+def released(request):
+    """Scratch tables of a test go with it."""
+    yield
+    if "spark" in request.fixturenames:
+        from lodeframe.plans import scratch
+
+        scratch.release(request.getfixturevalue("spark"))
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
