@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeframe.functions import predicates
-from lodeframe.operators import datasets, overrides, relations, search
+from lodeframe.operators import classes, datasets, overrides, relations, search
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
 from lodeframe.sources.archives import manifest_changes
@@ -35,14 +35,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query(
     "code_search",
-    """SELECT full_path, line_no, trim(line, ' ') AS match_line FROM (
+    r"""SELECT full_path, line_no, regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS match_line FROM (
          SELECT CAST(doc_id AS VARCHAR) AS full_path, unnest(string_split(text, chr(10))) AS line,
                 generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
        WHERE contains(lower(line), 'license')""",
 )
 def code_search(spark: SparkSession, sf: str) -> DataFrame:
     found = lines(table(spark, sf, "documents"), "doc_id", "text").where(F.lower("line").contains("license"))
-    return found.select("full_path", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("match_line"))
+    return found.select("full_path", F.col("line_no").cast("long").alias("line_no"), predicates.java_trim(F.col("line")).alias("match_line"))
 
 
 #: Turn n of a conversation points at turn n - 1.
@@ -90,15 +90,14 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
         up AS (SELECT src, src AS dst, 0 AS depth FROM e UNION SELECT src, dst, 1 FROM e
                UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src),
         p AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) AS b
-              FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'P'),
+              FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
         m AS (SELECT a, b, x.dst AS ancestor, x.depth + y.depth AS distance,
                      row_number() OVER (PARTITION BY a, b ORDER BY x.depth + y.depth, x.dst) AS k
               FROM p JOIN up x ON p.a = x.src JOIN up y ON p.b = y.src AND x.dst = y.dst)
         SELECT a, b, ancestor, distance FROM m WHERE k = 1""",
 )
 def common_ancestor(spark: SparkSession, sf: str) -> DataFrame:
-    lines_ = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    pairs = table(spark, sf, "orders").where("o_orderstatus = 'P'").join(lines_, F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     pairs = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     return common_ancestors(closure(keys(spark, sf)), pairs)
 
@@ -119,10 +118,10 @@ def assignable(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "whole_word_search",
-    r"""SELECT full_path, line_no, trim(line, ' ') AS match_line FROM (
+    r"""SELECT full_path, line_no, regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS match_line FROM (
          SELECT CAST(doc_id AS VARCHAR) AS full_path, unnest(string_split(text, chr(10))) AS line,
                 generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-       WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')""",
+       WHERE regexp_matches(lower(line), '(^|[^\p{L}\p{Nd}\p{Nl}\p{Sc}\p{Pc}\p{Mn}\p{Mc}\p{Cf}\x00-\x08\x0E-\x1B\x7F-\x9F])the($|[^\p{L}\p{Nd}\p{Nl}\p{Sc}\p{Pc}\p{Mn}\p{Mc}\p{Cf}\x00-\x08\x0E-\x1B\x7F-\x9F])')""",
 )
 def whole_word_search(spark: SparkSession, sf: str) -> DataFrame:
     hits = search.text_hits(table(spark, sf, "documents"), "doc_id", "text", "the", whole_word=True)
@@ -131,12 +130,13 @@ def whole_word_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merged_search",
-    """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS full_path, 1 AS line_number, p_name AS match_line, 'CLASS' AS match_type, 0 AS type_ordinal
+    r"""WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS full_path, 1 AS line_number, p_name AS match_line, 'CLASS' AS match_type, 0 AS type_ordinal
                   FROM part WHERE contains(lower(p_name), 'ring') ORDER BY 1, 2, 3 LIMIT 66),
        d AS (SELECT CAST(doc_id AS VARCHAR) AS full_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-       t AS (SELECT full_path, CAST(n AS INTEGER), trim(line, ' '), 'CODE_TEXT', 3 FROM d WHERE contains(lower(line), 'ring') ORDER BY 1, 2, 3 LIMIT 66),
+       t AS (SELECT full_path, CAST(n AS INTEGER), regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), 'CODE_TEXT', 3 FROM d WHERE contains(lower(line), 'ring') ORDER BY 1, 2, 3 LIMIT 66),
        q AS (SELECT url AS full_path, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages),
-       r AS (SELECT full_path, CAST(n AS INTEGER), min(trim(line, ' ')) AS l, 'RESOURCE', 5 FROM q WHERE contains(lower(line), 'ring') GROUP BY full_path, n ORDER BY 1, 2, 3 LIMIT 66)
+       s AS (SELECT full_path, CAST(n AS INTEGER) AS n, regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS l FROM q WHERE contains(lower(line), 'ring') ORDER BY 1, 2, 3 LIMIT 500),
+       r AS (SELECT full_path, n, min(l) AS l, 'RESOURCE', 5 FROM s GROUP BY full_path, n ORDER BY 1, 2, 3 LIMIT 66)
        SELECT * FROM (SELECT * FROM c UNION ALL SELECT * FROM t UNION ALL SELECT * FROM r) ORDER BY type_ordinal, line_number, full_path LIMIT 100""",
 )
 def merged_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,3 +375,60 @@ def inherited_methods(spark: SparkSession, sf: str) -> DataFrame:
 def exports(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("und")), F.lit(".txt")).alias("path"))
     return export_plan(docs, "path", "doc_id", "RENAME").where("action = 'write'").select("doc_id", "target")
+
+
+def typed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers extend nations and implement their segment; nations implement regions."""
+    rows = lambda rel, t, a, x, b, y, pos: table(spark, sf, t).select(F.lit(rel).alias("rel"), F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit(pos).alias("pos"))
+    up = rows("extends", "customer", "c", "c_custkey", "n", "c_nationkey", 0)
+    return up.union(rows("implements", "customer", "c", "c_custkey", "m", "c_mktsegment", 0)).union(rows("implements", "nation", "n", "n_nationkey", "r", "n_regionkey", 0))
+
+
+@query("all_interfaces", """SELECT 'c' || c_custkey AS name, 'm' || c_mktsegment AS interface, true AS is_direct FROM customer
+       UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, true FROM nation
+       UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, false FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def interfaces_of(spark: SparkSession, sf: str) -> DataFrame:
+    return classes.all_interfaces(typed_keys(spark, sf))
+
+
+@query("override_order", """WITH c AS (SELECT 'c' || c_custkey AS name, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r, 'm' || c_mktsegment AS m FROM customer JOIN nation ON c_nationkey = n_nationkey)
+       SELECT name, 0 AS prio, name AS declares FROM c UNION ALL SELECT name, 1, n FROM c UNION ALL SELECT name, 2, r FROM c UNION ALL SELECT name, 3, m FROM c""")
+def override_orders(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.lit(False).alias("is_interface"))
+    edges = typed_keys(spark, sf)
+    up = edges.where("rel = 'implements'").select("dst").distinct().select(F.col("dst").alias("name"), F.lit(True).alias("is_interface"))
+    return classes.override_order(edges, kinds.union(up)).where("name LIKE 'c%'")
+
+
+@query("class_annotations", """WITH d AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS a FROM customer WHERE c_acctbal < 0),
+       k AS (SELECT DISTINCT 'c' || c_custkey AS owner, c_mktsegment AS annotation FROM customer)
+       SELECT owner, annotation, bool_or(d) AS is_direct FROM (
+         SELECT owner, annotation, true AS d FROM k UNION ALL SELECT 'n' || n, a, true FROM d
+         UNION ALL SELECT a, 'first ' || left(a, 1), true FROM (SELECT DISTINCT c_mktsegment AS a FROM customer)
+         UNION ALL SELECT owner, 'first ' || left(annotation, 1), false FROM k UNION ALL SELECT 'n' || n, 'first ' || left(a, 1), false FROM d
+         UNION ALL SELECT 'c' || c_custkey, a, false FROM customer JOIN d ON c_nationkey = n WHERE a IN ('BUILDING', 'MACHINERY')) GROUP BY 1, 2""")
+def annotation_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments mark customers and nations with a customer in debt, initials mark segments; two segments are inherited."""
+    customer = table(spark, sf, "customer")
+    own = customer.select(F.concat(F.lit("c"), "c_custkey").alias("owner"), F.col("c_mktsegment").alias("annotation"))
+    above = customer.where("c_acctbal < 0").select(F.concat(F.lit("n"), "c_nationkey").alias("owner"), F.col("c_mktsegment").alias("annotation")).distinct()
+    meta = customer.select(F.col("c_mktsegment").alias("owner"), F.concat(F.lit("first "), F.substring("c_mktsegment", 1, 1)).alias("annotation")).distinct()
+    marks = own.union(above).union(meta).withColumn("target_kind", F.lit("class"))
+    inherited = meta.select(F.col("owner").alias("annotation")).where(F.col("annotation").isin("BUILDING", "MACHINERY"))
+    return classes.class_annotations(marks, typed_keys(spark, sf), inherited)
+
+
+@query("visible_members", """WITH m AS (SELECT 'n' || c_nationkey AS owner, c_mktsegment AS name, min(c_custkey) AS pos FROM customer GROUP BY 1, 2),
+       o AS (SELECT 'c' || c_custkey AS class_name, 'n' || c_nationkey AS owner FROM customer)
+       SELECT class_name, name, owner, pos FROM o JOIN m USING (owner)""")
+def members_seen(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("pos"))
+    return classes.visible_members(override_orders(spark, sf), members, ["name"])
+
+
+@query("find_usages", """SELECT l_orderkey, l_linenumber, owner, name FROM (SELECT l_orderkey, l_linenumber, 'order/' || o_orderpriority AS owner, 'ship' || l_returnflag AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+       WHERE contains(lower(owner), 'order/1-urgent') AND contains(lower(name), 'shipr')""")
+def usage_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    refs = rows.select("l_orderkey", "l_linenumber", F.lit("METHOD_CALL").alias("op"), F.concat(F.lit("order/"), "o_orderpriority").alias("owner"), F.concat(F.lit("ship"), "l_returnflag").alias("name"), F.lit("()V").alias("descriptor"))
+    return classes.find_usages(refs, "Order.1-URGENT#shipR").drop("op", "descriptor")

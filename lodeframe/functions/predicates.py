@@ -12,6 +12,7 @@ BRIDGE, VARARGS, TRANSIENT, INTERFACE, ABSTRACT = 0x40, 0x80, 0x80, 0x200, 0x400
 SYNTHETIC, ANNOTATION, ENUM = 0x1000, 0x2000, 0x4000
 #: How a comment line begins once it is trimmed.
 COMMENT_STARTS = ("//", "/*", "* ", "*\t", "*/")
+CONTROLS = "".join(map(chr, range(33)))
 #: Descriptor letters of the primitive types.
 PRIMITIVES = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
 
@@ -68,24 +69,43 @@ def in_package(column: Column, package: str, recursive: bool = True, separator:
     return same | column.startswith(package + separator) if recursive else same
 
 
+def java_trim(text: Column) -> Column:
+    """Without the characters up to U+0020 at both ends."""
+    return F.btrim(text, F.lit(CONTROLS))
+
+
+def is_pattern(query: str) -> bool:
+    """Whether the JVM, which will run it, takes the regular expression."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(query)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def line_match(line: Column, query: str, regex: bool = False, whole_word: bool = False, case_sensitive: bool = False) -> Column:
-    """Regex find, else whole word, else substring; a blank query or an invalid pattern matches nothing."""
-    if not query:
+    """Regex find, else whole word, else substring; a blank query or an invalid pattern matches nothing.
+
+    A regular expression ignores the case of ASCII letters only; otherwise both sides are lower-cased. A word ends where
+    no Java identifier goes on, so ``$`` and letters of any script belong to words.
+    """
+    if not query or query.isspace():
         return F.lit(False)
-    fold = "" if case_sensitive else "(?i)"
     if regex:
-        try:
-            re.compile(query)
-        except re.error:
-            return F.lit(False)
-        return line.rlike(fold + query)
+        return line.rlike(("" if case_sensitive else "(?i)") + query) if is_pattern(query) else F.lit(False)
+    content, wanted = (line, query) if case_sensitive else (F.lower(line), query.lower())
     if whole_word:
-        return line.rlike(rf"{fold}(?<![A-Za-z0-9_]){re.escape(query)}(?![A-Za-z0-9_])")
-    return line.contains(query) if case_sensitive else F.lower(line).contains(query.lower())
+        quoted = "\\Q" + wanted.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        return content.rlike(r"(?<!\p{javaJavaIdentifierPart})" + quoted + r"(?!\p{javaJavaIdentifierPart})")
+    return content.contains(wanted)
 
 
 def is_comment_line(line: Column, starts: tuple[str, ...] = COMMENT_STARTS) -> Column:
-    body = F.trim(line)
+    body = java_trim(line)
     return any_of([body.startswith(s) for s in starts]) | (body == "*")
 
 

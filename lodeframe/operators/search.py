@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodeframe.functions.predicates import any_of, contains_glob, line_match
+from lodeframe.functions.predicates import any_of, contains_glob, is_comment_line, java_trim, line_match
 from lodeframe.operators.lines import lines
+from lodeframe.plans.scratch import materialize
 
 #: The most hits of one provider; the order of match types.
 PROVIDER_CAP = 500
@@ -18,7 +19,7 @@ HIT = "full_path string, line_number int, match_line string, match_type string,
 def text_hits(df: DataFrame, path: str, text: str, query: str, match_type: str = "CODE_TEXT", **options) -> DataFrame:
     """Hits of a line search over texts; the hit text is trimmed."""
     found = lines(df, path, text).where(line_match(F.col("line"), query, **options))
-    return found.select("full_path", F.col("line_no").cast("int").alias("line_number"), F.trim("line").alias("match_line"), F.lit(match_type).alias("match_type"), F.lit(TYPES.index(match_type)).alias("type_ordinal"))
+    return found.select("full_path", F.col("line_no").cast("int").alias("line_number"), java_trim(F.col("line")).alias("match_line"), F.lit(match_type).alias("match_type"), F.lit(TYPES.index(match_type)).alias("type_ordinal"))
 
 
 def name_hits(df: DataFrame, path: str, name: str, query: str, match_type: str = "CLASS", **options) -> DataFrame:
@@ -27,22 +28,48 @@ def name_hits(df: DataFrame, path: str, name: str, query: str, match_type: str =
     return found.select(F.col(path).cast("string").alias("full_path"), F.lit(1).alias("line_number"), F.col(name).alias("match_line"), F.lit(match_type).alias("match_type"), F.lit(TYPES.index(match_type)).alias("type_ordinal"))
 
 
+def comment_hits(df: DataFrame, path: str, text: str, query: str, **options) -> DataFrame:
+    """Hits of a line search over the comment lines of texts."""
+    own = lines(df, path, text).where(is_comment_line(F.col("line"))).withColumn("line", java_trim(F.col("line")))
+    found = own.where(line_match(F.col("line"), query, **options))
+    return found.select("full_path", F.col("line_no").cast("int").alias("line_number"), F.col("line").alias("match_line"), F.lit("COMMENT").alias("match_type"), F.lit(TYPES.index("COMMENT")).alias("type_ordinal"))
+
+
+def member_hits(members: DataFrame, path: str, query: str, match_type: str, **options) -> DataFrame:
+    """Hits on names of methods or fields (owner, name, descriptor, pos); the hit is name and descriptor, its line the position."""
+    found = members.where(line_match(F.col("name"), query, **options))
+    return found.select(
+        F.col(path).cast("string").alias("full_path"), (F.col("pos") + 1).cast("int").alias("line_number"), F.concat("name", F.lit(" "), "descriptor").alias("match_line"),
+        F.lit(match_type).alias("match_type"), F.lit(TYPES.index(match_type)).alias("type_ordinal"),
+    )
+
+
+def in_scope(providers: dict[str, DataFrame], scope: str) -> list[DataFrame]:
+    """The providers, named by match type, that a scope (ALL or a match type) runs."""
+    return [df for kind, df in providers.items() if scope in ("ALL", kind)]
+
+
 def merge_hits(providers: Sequence[DataFrame], limit: int, exclude: Sequence[str] = ()) -> DataFrame:
-    """Hits of all providers by (type, path, line), at most ``limit``.
+    """Hits of all providers by (type, line), then in the order of providers and paths, at most ``limit``.
 
-    A provider gives at most max(1, 2 * limit / providers) hits, and PROVIDER_CAP; of hits with the same path, line
-    and type the first is kept. Quotas are top-k sorts, so no provider is gathered in one task.
+    Each provider gives its first PROVIDER_CAP hits by path, line and text. Of these, excluded ones go, then those with
+    the path, line and type of a hit that was taken already, and of the rest a provider gives max(1, 2 * limit /
+    providers) at most and all together 2 * limit. The caps are top-k sorts, so no provider is gathered in one task; what
+    follows sees PROVIDER_CAP rows a provider.
     """
-    blank = [g for g in exclude if g.strip()]
-    quota = min(PROVIDER_CAP, max(1, 2 * limit // max(1, len(providers))))
-    merged = None
-    for p in providers:
-        own = p.where(~any_of([contains_glob(F.col("full_path"), g) for g in blank])) if blank else p
-        own = own.groupBy("full_path", "line_number", "match_type", "type_ordinal").agg(F.min("match_line").alias("match_line"))
-        own = own.orderBy("full_path", "line_number", "match_line").limit(quota)
-        merged = own if merged is None else merged.unionByName(own)
-    first = merged.groupBy("full_path", "line_number", "match_type", "type_ordinal").agg(F.min("match_line").alias("match_line"))
-    return first.orderBy("type_ordinal", "line_number", "full_path").limit(limit)
+    blank, most, order = [g for g in exclude if g.strip()], 2 * max(1, limit), ("full_path", "line_number", "match_line")
+    key = ["full_path", "line_number", "match_type", "type_ordinal"]
+    quota, left, taken = max(1, most // max(1, len(providers))), most, None
+    for i, p in enumerate(providers):
+        own = p.orderBy(*order).limit(PROVIDER_CAP)
+        own = own.where(~any_of([contains_glob(F.col("full_path"), g) for g in blank])) if blank else own
+        own = own.groupBy(*key).agg(F.min("match_line").alias("match_line"))
+        own = own if taken is None else own.join(taken, key, "left_anti")
+        # At most PROVIDER_CAP rows, which the next provider is compared with.
+        own = materialize(own.orderBy(*order).limit(min(quota, left)).withColumn("provider", F.lit(i)), "hits")
+        taken = own if taken is None else taken.unionByName(own)
+        left -= own.count()
+    return taken.orderBy("type_ordinal", "line_number", "provider", "full_path", "match_line").limit(max(1, limit)).select("full_path", "line_number", "match_line", "match_type", "type_ordinal")
 
 
 def running_trim(df: DataFrame, order: str, size: str, most: int, chunk: int) -> DataFrame:
