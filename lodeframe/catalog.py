@@ -102,7 +102,7 @@ def common_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     return common_ancestors(closure(keys(spark, sf)), pairs)
 
 
-@query("children_by_parent", f"SELECT dst AS parent, count(*) AS n_children, string_agg(src, ',' ORDER BY src) AS children FROM {KEYS_SQL} GROUP BY dst")
+@query("children_by_parent", f"SELECT dst AS parent, src AS child, count(*) OVER (PARTITION BY dst) AS n_children FROM {KEYS_SQL}")
 def children_by_parent(spark: SparkSession, sf: str) -> DataFrame:
     return children(keys(spark, sf))
 
@@ -235,7 +235,7 @@ def resolve_members(spark: SparkSession, sf: str) -> DataFrame:
     return relations.resolve_members(table(spark, sf, "events").select("user_id", "event_type", "event_id"), "user_id", ["event_type"], ["event_id"])
 
 
-@query("dependencies", "SELECT l_suppkey AS name, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS uses FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE l_suppkey <> l_partkey GROUP BY 1")
+@query("dependencies", "SELECT l_suppkey AS name, l_partkey AS uses, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE l_suppkey <> l_partkey")
 def dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return relations.dependencies(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.plans.scratch import materialize
+from lodeframe.plans.skew import join_per_key, with_count
 
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -55,9 +56,9 @@ def leaves(edges: DataFrame) -> DataFrame:
 
 
 def children(edges: DataFrame) -> DataFrame:
-    """(parent, n_children, children): distinct children per parent, sorted and comma-joined, from edges child -> parent."""
+    """(parent, child, n_children): distinct children, a row each, with the number of their parent's, from edges child -> parent."""
     e = clean_edges(edges).select(F.col("dst").alias("parent"), F.col("src").alias("child"))
-    return e.groupBy("parent").agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list(F.col("child").cast("string"))), ",").alias("children"))
+    return with_count(e, "parent", "n_children")
 
 
 def assignable_to(members: DataFrame, name: str, edges: DataFrame, target) -> DataFrame:
@@ -66,3 +67,29 @@ def assignable_to(members: DataFrame, name: str, edges: DataFrame, target) -> Da
     roots = members.sparkSession.createDataFrame([(target,)], turned.select("src").schema)
     below = closure(turned, roots).select(F.col("dst").alias(name)).unionByName(roots.select(F.col("src").alias(name)))
     return members.join(below, name, "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of undirected ``edges`` (a, b): component is the smallest node reachable.
+
+    Alternating large-star and small-star rounds, a logarithmic number in practice; each round is a table in the
+    shared folder, and the end is noticed by the number and the hash of all edges, one row. Self-loops are left out.
+    """
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    seen = None
+    while True:
+        both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        large = materialize(_star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = _star(large)
+        edges = materialize(low.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(large.groupBy("a").agg(F.min("b").alias("b"))).distinct(), "edges")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == seen or not now[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        seen = now
+
+
+def _star(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each pair (a, b) as u and v, with the smallest of u and all its partners."""
+    mins = materialize(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "mins")
+    total = mins.agg(F.sum("n")).first()[0] or 0
+    return join_per_key(pairs, mins, "a", "n", total).select(F.col("a").alias("u"), F.col("b").alias("v"), "m")

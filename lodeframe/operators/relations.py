@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeframe.functions.predicates import any_of, package_of
+from lodeframe.plans.skew import with_count
 
 
 def _member(df: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def resolve_members(members: DataFrame, owner: str, key: Sequence[str], order: S
 
 
 def dependencies(refs: DataFrame, src: str, dst: str) -> DataFrame:
-    """(name, n, uses): distinct targets of each source, sorted and comma-joined; self references are left out."""
-    pairs = refs.select(F.col(src).alias("name"), F.col(dst).alias("to")).where("name <> to").distinct()
-    return pairs.groupBy("name").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("to")), lambda x: x.cast("string")), ",").alias("uses"))
+    """(name, uses, n): distinct targets of each source, a row each, with their number; self references are left out."""
+    pairs = refs.select(F.col(src).alias("name"), F.col(dst).alias("uses")).where("name <> uses").distinct()
+    return with_count(pairs, "name", "n")
 
 
 def externals(refs: DataFrame, ref: str, known: DataFrame, name: str) -> DataFrame:
@@ -91,21 +92,38 @@ def usages(lines: DataFrame, column: str, targets: Sequence[str]) -> DataFrame:
 def enclosing_regions(points: DataFrame, regions: DataFrame, width: int) -> DataFrame:
     """(point, region, start, length): regions [start, start + length) around each point.
 
-    Both sides meet in cells of ``width``; a region enters every cell it touches, so each match is found once, in
-    the point's cell. Choose ``width`` near the usual region length.
+    Both sides meet in cells. A region is filed by cells of ``width``, doubled until they are as long as it, so it
+    enters two or three cells whatever its length; a point looks in one cell of each size in use, 63 at most. Each
+    match is found once. Choose ``width`` near the usual region length.
     """
-    cells = regions.where("length > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("length") - 1) / width))))
-    at = points.withColumn("cell", F.floor(F.col("point") / width))
-    return at.join(cells, "cell").where("point >= start AND point < start + length").drop("cell")
-
-
-def nearest_before(queries: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    most = 62 - int(width).bit_length()
+    steps = F.least(F.greatest(F.ceil(F.log2(F.col("length") / width)), F.lit(0)), F.lit(most)).cast("int")
+    filed = regions.where("length > 0").withColumn("__size", F.call_function("shiftleft", F.lit(int(width)).cast("long"), steps))
+    cell = lambda at: at - F.pmod(at, F.col("__size"))
+    start, last = F.col("start").cast("long"), (F.col("start") + F.col("length") - 1).cast("long")
+    cells = filed.withColumn("__cell", F.explode(F.sequence(cell(start), cell(last), F.col("__size"))))
+    sizes = sorted(r[0] for r in filed.select("__size").distinct().collect())
+    at = points.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)).cast("array<bigint>"))).withColumn("__cell", cell(F.col("point").cast("long")))
+    return at.join(cells, ["__size", "__cell"]).where("point >= start AND point < start + length").drop("__size", "__cell")
+
+
+def nearest_before(queries: DataFrame, marks: DataFrame, key: str, at: str, value: str, chunk: int = 1_000_000) -> DataFrame:
     """Each query row with the value of the last mark of its key at or before it (null if there is none).
 
-    One sort per key over queries and marks together; no pairs are formed.
+    Queries and marks are sorted together in ranges of ``chunk`` along the integer ``at``, and the last mark of each
+    range is carried to the ranges of its key after it, so no task sorts a whole key and no pairs are formed. Null
+    values are no marks; of marks at one place the largest counts. Null keys are a key, and a null ``at`` comes first.
     """
     both = queries.withColumn("__mark", F.lit(None).cast(marks.schema[value].dataType)).withColumn("__own", F.lit(1))
-    other = marks.select(*(F.col(c) if c in (key, at) else F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in queries.columns), F.col(value).alias("__mark"), F.lit(0).alias("__own"))
-    before = Window.partitionBy(key).orderBy(at, "__own").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.unionByName(other).withColumn(value, F.last("__mark", ignorenulls=True).over(before))
-    return filled.where("__own = 1").drop("__mark", "__own")
+    other = marks.where(F.col(value).isNotNull()).select(
+        *(F.col(c) if c in (key, at) else F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in queries.columns), F.col(value).alias("__mark"), F.lit(0).alias("__own")
+    )
+    rows = both.unionByName(other).withColumn("__cell", F.floor(F.col(at) / chunk))
+    order = F.struct(F.col(at).isNotNull(), at, "__mark")
+    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__cell").alias("__at")).agg(F.max_by("__mark", F.when(F.col("__own") == 0, order)).alias("__end"))
+    above = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__key", "__at", F.last("__end", ignorenulls=True).over(above).alias("__carried"))
+    inside = Window.partitionBy(key, "__cell").orderBy(at, "__own", "__mark").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("__last", F.last("__mark", ignorenulls=True).over(inside)).where("__own = 1")
+    joined = filled.join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__cell").eqNullSafe(F.col("__at")))
+    return joined.select(*queries.columns, F.coalesce("__last", "__carried").alias(value))

@@ -12,6 +12,8 @@ from lodeframe.plans.scratch import materialize
 
 #: The most hits of one provider; the order of match types.
 PROVIDER_CAP = 500
+#: Ranges that one task sorts in a running total.
+CELLS = 4096
 TYPES = ("CLASS", "METHOD", "FIELD", "CODE_TEXT", "COMMENT", "RESOURCE", "BYTECODE")
 HIT = "full_path string, line_number int, match_line string, match_type string, type_ordinal int"
 
@@ -72,16 +74,29 @@ def merge_hits(providers: Sequence[DataFrame], limit: int, exclude: Sequence[str
     return taken.orderBy("type_ordinal", "line_number", "provider", "full_path", "match_line").limit(max(1, limit)).select("full_path", "line_number", "match_line", "match_type", "type_ordinal")
 
 
+def _above(sums: DataFrame) -> DataFrame:
+    """(__cell, __above): the total of column __sum over all greater cells.
+
+    More than CELLS cells, as sparse ids give, are summed in ranges of CELLS first, and so on up.
+    """
+    greater = lambda w: F.coalesce(F.sum("__sum").over(w.orderBy(F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = materialize(sums, "sums")
+    if sums.limit(CELLS + 1).count() <= CELLS:
+        return sums.select("__cell", greater(Window.partitionBy()).alias("__above"))
+    upper = F.floor(F.col("__cell") / CELLS)
+    over = _above(sums.groupBy(upper.alias("__cell")).agg(F.sum("__sum").alias("__sum"))).withColumnsRenamed({"__cell": "__upper", "__above": "__start"})
+    own = sums.withColumn("__upper", upper).withColumn("__own", greater(Window.partitionBy("__upper")))
+    return own.join(over, "__upper").select("__cell", (F.col("__own") + F.col("__start")).alias("__above"))
+
+
 def running_trim(df: DataFrame, order: str, size: str, most: int, chunk: int) -> DataFrame:
     """Rows, from the newest ``order`` down, whose running total of ``size`` stays within ``most``.
 
-    ``order`` is an integer; rows are summed in ranges of ``chunk`` first, so the running total over ranges is
-    short and only inside a range are rows sorted.
+    ``order`` is an integer; rows are summed in ranges of ``chunk`` first, and those in ranges of ranges, so no task
+    sorts more than a range.
     """
     cell = F.floor(F.col(order) / chunk)
-    sums = df.groupBy(cell.alias("__cell")).agg(F.sum(size).alias("__sum"))
-    above = Window.orderBy(F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select("__cell", F.coalesce(F.sum("__sum").over(above), F.lit(0)).alias("__above"))
+    start = _above(df.groupBy(cell.alias("__cell")).agg(F.sum(size).alias("__sum")))
     inside = Window.partitionBy("__cell").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("__cell", cell).join(start, "__cell")
     return rows.withColumn("__run", F.col("__above") + F.sum(size).over(inside)).where(F.col("__run") <= most).drop("__cell", "__above", "__run")

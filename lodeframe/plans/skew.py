@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodeframe.plans.scratch import materialize
+
 #: A key is hot when it holds at least one part in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 10_000
 
@@ -22,3 +24,11 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, tot
     on_hot = rows.join(few, key)
     others = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti")
     return on_hot.unionByName(others.join(rest, key, how))
+
+
+def with_count(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``rows`` with the ``number`` of those that share their ``key``, counted before anything meets; null keys are left out."""
+    rows = materialize(rows, "rows")
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("__n")), "counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    return join_per_key(rows, counts.withColumn(number, F.col("__n")), key, "__n", total)

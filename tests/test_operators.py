@@ -77,3 +77,43 @@ def test_regions_and_nearest(spark):
     marks = spark.createDataFrame([("k", 2, "m2"), ("k", 5, "m5")], "k string, at int, v string")
     found = relations.nearest_before(queries, marks, "k", "at", "v")
     assert sorted(map(str, found.select("k", "at", "v").collect())) == sorted(map(str, spark.createDataFrame([("k", 5, "m5"), ("k", 1, None), ("j", 9, None)], "k string, at int, v string").collect()))
+
+
+def test_nearest_before_over_ranges(spark):
+    rows = [(k, at, i) for i, (k, at) in enumerate((k, at) for k in ("hot", "hot", None, "x") for at in (None, -7, 0, 3, 8, 9, 40, 41))]
+    queries = spark.createDataFrame([r for r in rows if r[2] % 3], "k string, at long, id int")
+    marks = spark.createDataFrame([(k, at, None if i % 9 == 0 else i) for k, at, i in rows if i % 3 == 0], "k string, at long, v int")
+    want = []
+    for k, at, i in rows:
+        if i % 3:
+            place = lambda x: (x is not None, x or 0)
+            own = [(place(b), j) for c, b, j in rows if j % 3 == 0 and j % 9 and c == k and place(b) <= place(at)]
+            want.append((i, max(own)[1] if own else None))
+    for chunk in (1, 8, 1000):
+        found = relations.nearest_before(queries, marks, "k", "at", "v", chunk)
+        assert sorted(tuple(r) for r in found.select("id", "v").collect()) == sorted(want)
+
+
+def test_regions_of_any_length(spark):
+    regions = [(i, start, length) for i, (start, length) in enumerate([(-5, 1), (-5, 12), (0, 10**15), (-(10**17), 10**17 + 1), (7, 8), (7, 9), (2**60, 2**61)])]
+    points = [(-5,), (0,), (6,), (7,), (14,), (15,), (10**15 - 1,), (10**15,), (2**60 + 5,), (-(10**17),)]
+    found = relations.enclosing_regions(spark.createDataFrame(points, "point long"), spark.createDataFrame(regions, "region int, start long, length long"), 8)
+    assert names(found, "point", "region") == sorted((p, r) for (p,) in points for r, s, n in regions if s <= p < s + n)
+
+
+def test_running_trim_over_sparse_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 4)
+    rows = [(i * i * 977 - 5000, i % 7) for i in range(200)]
+    run, want = 0, []
+    for at, size in sorted(rows, reverse=True):
+        run += size
+        want += [at] if run <= 333 else []
+    assert names(search.running_trim(spark.createDataFrame(rows, "id long, n long"), "id", "n", 333, 50), "id") == sorted(want)
+
+
+def test_children_and_components(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "a"), ("d", "b"), ("a", "a"), ("x", "y"), (None, "y")], "src string, dst string")
+    assert names(graph.children(edges), "parent", "child", "n_children") == [("a", "b", 2), ("a", "c", 2), ("b", "d", 1), ("y", "x", 1)]
+    assert names(relations.dependencies(edges, "src", "dst"), "name", "uses", "n") == [("b", "a", 1), ("c", "a", 1), ("d", "b", 1), ("x", "y", 1)]
+    found = graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    assert names(found.where("node <> component"), "node", "component") == [("b", "a"), ("c", "a"), ("d", "a"), ("y", "x")]
