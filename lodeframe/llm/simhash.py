@@ -32,6 +32,7 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lodeframe.operators.graph import components
 from lodeframe.plans.scratch import materialize
 from lodeframe.plans.skew import join_per_key
 
@@ -131,32 +132,6 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds, a logarithmic number in practice; each round is a table in the
-    shared folder, and the end is noticed by the number and the hash of all edges, one row.
-    """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        large = materialize(_star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        low = _star(large)
-        edges = materialize(low.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(large.groupBy("a").agg(F.min("b").alias("b"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = now
-
-
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair (a, b) as u and v, with the smallest of u and all its partners."""
-    mins = materialize(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "mins")
-    total = mins.agg(F.sum("n")).first()[0] or 0
-    return join_per_key(pairs, mins, "a", "n", total).select(F.col("a").alias("u"), F.col("b").alias("v"), "m")
-
-
 def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component) of every row; component is the smallest id reachable over links, its own included."""
     fps = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
