@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeframe.functions import predicates
-from lodeframe.operators import classes, datasets, overrides, relations, search
+from lodeframe.operators import classes, datasets, overrides, relations, renames, search, trees
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
 from lodeframe.sources.archives import manifest_changes
@@ -432,3 +432,42 @@ def usage_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     refs = rows.select("l_orderkey", "l_linenumber", F.lit("METHOD_CALL").alias("op"), F.concat(F.lit("order/"), "o_orderpriority").alias("owner"), F.concat(F.lit("ship"), "l_returnflag").alias("name"), F.lit("()V").alias("descriptor"))
     return classes.find_usages(refs, "Order.1-URGENT#shipR").drop("op", "descriptor")
+
+
+@query("byte_search", """WITH p AS (SELECT doc_id, string_split(text, 'license') AS parts FROM documents WHERE text IS NOT NULL),
+       i AS (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM p)
+       SELECT CAST(doc_id AS VARCHAR) AS full_path, CAST(strlen(array_to_string(parts[:i], 'license')) AS BIGINT) AS "offset" FROM i""")
+def byte_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.byte_hits(table(spark, sf, "documents"), "doc_id", "text", b"license")
+
+
+@query("quick_open", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'green')")
+def open_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    return search.quick_open(table(spark, sf, "part"), "p_name", "Green").select("p_partkey", "p_name")
+
+
+@query("preorder", """WITH t AS (SELECT 'r' || r_regionkey AS node, r_regionkey AS r, -1 AS n, -1 AS c FROM region
+         UNION ALL SELECT 'n' || n_nationkey, n_regionkey, n_nationkey, -1 FROM nation
+         UNION ALL SELECT 'c' || c_custkey, n_regionkey, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+       SELECT node, CASE WHEN c >= 0 THEN 2 WHEN n >= 0 THEN 1 ELSE 0 END AS depth, row_number() OVER (ORDER BY r, n, c) - 1 AS place FROM t""")
+def walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions, nations and customers as a forest."""
+    rows = lambda t, a, x, b, y, at: table(spark, sf, t).select(F.concat(F.lit(a), F.col(x)).alias("node"), (F.concat(F.lit(b), F.col(y)) if y else F.lit(None).cast("string")).alias("parent"), (F.col(x).cast("long") + at).alias("at"))
+    nodes = rows("region", "r", "r_regionkey", "", None, 0).union(rows("nation", "n", "n_nationkey", "r", "n_regionkey", 1 << 40)).union(rows("customer", "c", "c_custkey", "n", "c_nationkey", 1 << 41))
+    return trees.preorder(nodes, "node", "parent", "at").select("node", "depth", "place")
+
+
+@query("override_families", DEBT_SQL + """, m AS (SELECT c_nationkey AS n, c_mktsegment AS s, 'c' || c_custkey AS owner FROM customer JOIN d USING (c_nationkey, c_mktsegment)
+       UNION ALL SELECT c_nationkey, c_mktsegment, 'n' || c_nationkey FROM d)
+       SELECT owner, s AS name, '()V' AS descriptor, min(owner || '.' || s || '()V') OVER (PARTITION BY n, s) AS family FROM m""")
+def override_families(spark: SparkSession, sf: str) -> DataFrame:
+    return overrides.families(overrides.overrides(*segments(spark, sf)))
+
+
+@query("member_renames", """WITH f AS (SELECT 'geo/r' || n_regionkey AS owner, n_nationkey AS pos, lower(left(n_name, 2)) AS name FROM nation),
+       a AS (SELECT *, 'f' || (row_number() OVER (ORDER BY owner, pos) - 1) || name AS new_name FROM f)
+       SELECT owner, name, min_by(new_name, pos) AS new_name FROM a GROUP BY owner, name""")
+def renamed_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as classes, the first two letters of their nations as fields."""
+    fields = table(spark, sf, "nation").select(F.concat(F.lit("geo/r"), "n_regionkey").alias("owner"), F.col("n_nationkey").cast("int").alias("pos"), F.lower(F.substring("n_name", 1, 2)).alias("name"), F.lit("I").alias("descriptor"))
+    return renames.member_renames(fields, fields.where("false")).select("owner", "name", "new_name")

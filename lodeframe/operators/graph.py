@@ -70,7 +70,7 @@ def assignable_to(members: DataFrame, name: str, edges: DataFrame, target) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of undirected ``edges`` (a, b): component is the smallest node reachable.
+    """(node, component) for the nodes of undirected ``edges`` (a, b) that reach a smaller one: component is the smallest of them.
 
     Alternating large-star and small-star rounds, a logarithmic number in practice; each round is a table in the
     shared folder, and the end is noticed by the number and the hash of all edges, one row. Self-loops are left out.

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeframe.functions.predicates import FINAL, PRIVATE, STATIC, has_bits
-from lodeframe.operators.graph import closure
+from lodeframe.operators.graph import closure, components
 
 #: Prefixes of library classes, which end a search for overridden methods; rows of a group in a report.
 LIBRARY = ("java/", "javax/")
@@ -52,6 +52,18 @@ def overrides(methods: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("owner", "name", "descriptor", F.col("m.base").alias("base"))
 
 
+def families(found: DataFrame) -> DataFrame:
+    """(owner, name, descriptor, family) of methods that override or are overridden; ``found`` is ``overrides``.
+
+    A family is what overrides connect, and is known by its smallest owner, name and descriptor, written ``owner.name()V``.
+    """
+    key = lambda owner: F.concat(owner, F.lit("."), F.col("name"), F.col("descriptor"))
+    edges = found.select(key(F.col("owner")).alias("a"), key(F.col("base")).alias("b"), "owner", "base", "name", "descriptor")
+    members = edges.select("owner", "name", "descriptor").union(edges.select("base", "name", "descriptor")).distinct()
+    members = members.withColumn("node", key(F.col("owner")))
+    return members.join(components(edges), "node", "left").select("owner", "name", "descriptor", F.coalesce("component", "node").alias("family"))
+
+
 def overridden_by(methods: DataFrame, edges: DataFrame) -> DataFrame:
     """(owner, name, descriptor, sub): overridable methods and the descendants that declare them too."""
     below = closure(edges.where("rel IN ('extends', 'implements')")).select(F.col("dst").alias("owner"), F.col("src").alias("sub"))

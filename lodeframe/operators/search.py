@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodeframe.functions.predicates import any_of, contains_glob, is_comment_line, java_trim, line_match
@@ -51,6 +52,31 @@ def in_scope(providers: dict[str, DataFrame], scope: str) -> list[DataFrame]:
     return [df for kind, df in providers.items() if scope in ("ALL", kind)]
 
 
+def quick_open(names: DataFrame, name: str, text: str) -> DataFrame:
+    """``names`` that contain a text in either case; the empty text takes all."""
+    return names.where(F.lower(name).contains(text.lower()))
+
+
+def hex_bytes(query: str) -> bytes:
+    """The bytes of hexadecimal digits, whatever stands between them; none where their number is odd."""
+    digits = "".join(c for c in query if c in "0123456789abcdefABCDEF")
+    return bytes.fromhex(digits) if len(digits) % 2 == 0 else b""
+
+
+def byte_hits(df: DataFrame, path: str, content: str, needle: bytes) -> DataFrame:
+    """(full_path, offset): every place, overlapping ones too, where the bytes of a binary column hold ``needle``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows if needle else 0):
+                data, at, found = batch.column(1)[i].as_py() or b"", -1, []
+                while (at := data.find(needle, at + 1)) >= 0:
+                    found.append(at)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(found)), pa.array(found, pa.int64())], names=["full_path", "offset"])
+
+    return df.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "full_path string, offset long")
+
+
 def merge_hits(providers: Sequence[DataFrame], limit: int, exclude: Sequence[str] = ()) -> DataFrame:
     """Hits of all providers by (type, line), then in the order of providers and paths, at most ``limit``.
 
