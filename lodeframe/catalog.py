@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeframe.functions import predicates
+from lodeframe.functions import bytes as byte_columns, predicates, texts
 from lodeframe.operators import classes, datasets, overrides, relations, renames, search, trees
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
-from lodeframe.sources.archives import manifest_changes
+from lodeframe.sources.archives import elements_with, elements_without, manifest_changes
 from lodeframe.sources.sinks import export_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +471,51 @@ def renamed_members(spark: SparkSession, sf: str) -> DataFrame:
     """Regions as classes, the first two letters of their nations as fields."""
     fields = table(spark, sf, "nation").select(F.concat(F.lit("geo/r"), "n_regionkey").alias("owner"), F.col("n_nationkey").cast("int").alias("pos"), F.lower(F.substring("n_name", 1, 2)).alias("name"), F.lit("I").alias("descriptor"))
     return renames.member_renames(fields, fields.where("false")).select("owner", "name", "new_name")
+
+
+@query(
+    "byte_values",
+    r"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+         p AS (SELECT doc_id, h, length(h) // 2 AS n, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le FROM h)
+       SELECT doc_id, CASE WHEN n >= 1 THEN CAST('0x' || substr(h, 1, 2) AS BIGINT) END AS uint8,
+              CASE WHEN n >= 2 THEN (CAST('0x' || substr(h, 1, 4) AS BIGINT) + 32768) % 65536 - 32768 END AS int16_be,
+              CASE WHEN n >= 4 THEN CAST('0x' || le AS BIGINT) END AS uint32_le,
+              CASE WHEN n >= 4 THEN (CAST('0x' || le AS BIGINT) + 2147483648) % 4294967296 - 2147483648 END AS int32_le,
+              CASE WHEN n >= 8 THEN '#' || substr(h, 9, 8) END AS rgba,
+              CASE WHEN n >= 16 THEN lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) END AS guid
+       FROM p""",
+)
+def byte_values(spark: SparkSession, sf: str) -> DataFrame:
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return table(spark, sf, "documents").select(
+        "doc_id", byte_columns.unsigned(data, 0, 1).alias("uint8"), byte_columns.signed(data, 0, 2).alias("int16_be"),
+        byte_columns.unsigned(data, 0, 4, True).alias("uint32_le"), byte_columns.signed(data, 0, 4, True).alias("int32_le"),
+        byte_columns.rgba(data, 4).alias("rgba"), byte_columns.guid(data, 0).alias("guid"),
+    )
+
+
+#: Orders are class path elements, return flags the paths in them.
+RESOURCE_SQL = "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey {} (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY 1, 2"
+
+
+@query("elements_with_resource", RESOURCE_SQL.format("IN"))
+def elements_with_resource(spark: SparkSession, sf: str) -> DataFrame:
+    kept = elements_with(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag"), ["A", "R"], "l_orderkey", "l_returnflag")
+    return kept.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("elements_without_resource", RESOURCE_SQL.format("NOT IN"))
+def elements_without_resource(spark: SparkSession, sf: str) -> DataFrame:
+    kept = elements_without(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag"), ["A", "R"], "l_orderkey", "l_returnflag")
+    return kept.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(
+    "shared_prefix",
+    """SELECT order_id, (SELECT count(*) FROM range(1, 1 + least(length(a), length(b))) t(i) WHERE substr(a, 1, i) = substr(b, 1, i)) AS n_prefix,
+              (SELECT count(*) FROM range(1, 1 + least(length(a), length(b))) t(i) WHERE right(a, i) = right(b, i)) AS n_suffix
+       FROM (SELECT o_orderkey AS order_id, o_orderpriority AS a, CAST(o_orderkey AS VARCHAR) || '-' || o_orderpriority AS b FROM orders)""",
+)
+def shared_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.col("o_orderpriority"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), texts.common_prefix(a, b).alias("n_prefix"), texts.common_suffix(a, b).alias("n_suffix"))

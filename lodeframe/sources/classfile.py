@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.functions.predicates import INTERFACE
+from lodeframe.plans.scratch import materialize
 
 OBJECT = "java/lang/Object"
 #: Fixed values of the class-file format: bytes after the tag of a constant, and the layout of numbers.
@@ -219,3 +221,29 @@ def edges(parsed: DataFrame) -> DataFrame:
     ups = of("extends", F.array("superclass")).where(F.col("dst").isNotNull() & (F.col("dst") != OBJECT))
     refs = of("references", F.array_except("refs", F.array("name")))
     return ups.unionByName(of("implements", "interfaces")).unionByName(of("annotated", F.transform("annotations", lambda a: a["annotation"]))).unionByName(refs)
+
+
+def named_above(parsed: DataFrame) -> DataFrame:
+    """Distinct (name) of the superclasses, interfaces, annotations and thrown exceptions that classes name."""
+    ok = parsed.where("error is null")
+    ups = ok.select(F.explode(F.array_compact(F.concat(F.array("superclass"), "interfaces"))).alias("name"))
+    thrown = ok.select(F.explode("methods").alias("m")).select(F.explode("m.throws"))
+    return ups.union(annotations(parsed).select("annotation")).union(thrown).where("name is not null").distinct()
+
+
+def extend_upwards(parsed: DataFrame, entries: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """``parsed`` and, until nothing is new, the classes of ``entries`` that those found so far name above them.
+
+    ``excluded`` (name) are classes that are never added. Names without an entry are left out; of several entries
+    with one path all are read, so pass masked ones. A round reads only the entries that it adds.
+    """
+    parts = [materialize(parsed, "parsed")]
+    met = [parts[0].select("name")] + ([] if excluded is None else [excluded.select("name")])
+    while True:
+        known = reduce(DataFrame.unionByName, met).where("name is not null").distinct()
+        wanted = materialize(named_above(parts[-1]).join(known, "name", "left_anti"), "wanted")
+        if wanted.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        paths = wanted.select(F.concat(F.translate("name", ".", "/"), F.lit(".class")).alias("path"))
+        parts.append(materialize(parse_classes(entries.join(paths, "path", "left_semi")), "parsed"))
+        met.append(wanted)

@@ -108,3 +108,53 @@ def test_export(spark, tmp_path):
     assert tuple(sinks.export_counts(done).first()) == (2, 2, 4)
     sinks.export_tables(done, str(tmp_path / "out"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 8]
+
+
+def test_unreadable_archives_are_reported(spark):
+    good = zipped([("a.txt", b"a" * 100)])
+    torn = bytearray(zipped([("a.txt", b"a" * 100), ("b.txt", b"b")]))
+    torn[35] ^= 1
+    outer = zipped([("in/broken.zip", b"no zip"), ("fine.zip", good)])
+    got = archives.unreadable(files(spark, ("o.jar", outer), ("bad.JAR", b"??"), ("torn.zip", bytes(torn)), ("good.jar", good), ("plain.txt", b"??"))).collect()
+    assert sorted((r.archive, r.path) for r in got) == [("bad.JAR", "bad.JAR"), ("o.jar", "in/broken.zip"), ("torn.zip", "torn.zip" if any(r.path == "torn.zip" for r in got) else "a.txt")]
+    assert all(r.error for r in got)
+
+
+def test_class_path_of_several_kinds(spark, tmp_path):
+    for n in ("x", "y"):
+        (tmp_path / f"{n}.jar").write_bytes(zipped([(f"{n}.txt", n.encode())]))
+    os.makedirs(tmp_path / "open.jar" / "d")
+    (tmp_path / "open.jar" / "d" / "z.txt").write_text("z")
+    elements = [str(tmp_path / "y.jar"), str(tmp_path / "open.jar"), f"file:{tmp_path}/x.jar", str(tmp_path / "y.jar")]
+    entries = archives.read_entries(spark, elements)
+    assert sorted((r.classpath_idx, r.path) for r in entries.collect()) == [(0, "y.txt"), (1, "d/z.txt"), (2, "x.txt"), (3, "y.txt")]
+    assert sorted(r.classpath_idx for r in archives.elements_with(entries, ["y.txt", "none"]).collect()) == [0, 3]
+    assert sorted(r.classpath_idx for r in archives.elements_without(entries, ["y.txt"]).collect()) == [1, 2]
+
+
+def test_latest_change(spark):
+    rows = files(spark, ("a", b""), ("b", b""))
+    ms = int(NOW.timestamp() * 1000)
+    assert archives.latest_change(rows).first()[0] == ms
+    assert archives.latest_change(rows, F.lit(NOW)).first()[0] == archives.latest_change(rows.where("false")).first()[0] == 0
+
+
+def test_scan_extended_upwards(spark):
+    entries = archives.mask_duplicates(archives.read_entries(spark, [small_jar()])).where("node_type = 'CLASS_FILE'").cache()
+    whole = {r.name: r for r in classfile.parse_classes(entries).where("error is null").collect()}
+    above = {n: {x for x in (r.superclass, *r.interfaces, *(a.annotation for m in (r, *r.fields, *r.methods) for a in m.annotations), *(t for m in r.methods for t in m.throws)) if x in whole} for n, r in whole.items()}
+    deep = {n: set() for n in whole}
+    for n in whole:
+        todo = [n]
+        while todo:
+            for up in above[todo.pop()] - deep[n]:
+                deep[n].add(up)
+                todo.append(up)
+    start = max(sorted(whole), key=lambda n: len(deep[n] - {n}))
+    assert deep[start] - {start}
+    first = classfile.parse_classes(entries.where(F.col("path") == start + ".class"))
+    got = [r.name for r in classfile.extend_upwards(first, entries).collect()]
+    assert sorted(got) == sorted(deep[start] | {start})
+    none = spark.createDataFrame([(n,) for n in above[start]], "name string")
+    assert [r.name for r in classfile.extend_upwards(first, entries, none).collect()] == [start]
+    entries.unpersist()
