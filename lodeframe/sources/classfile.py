@@ -18,27 +18,33 @@ from lodeframe.functions.predicates import INTERFACE
 from lodeframe.plans.scratch import materialize
 
 OBJECT = "java/lang/Object"
+#: An inner class that record classes name without need.
+LOOKUP = ("java/lang/invoke/MethodHandles$Lookup", "java/lang/invoke/MethodHandles")
 #: Fixed values of the class-file format: bytes after the tag of a constant, and the layout of numbers.
 CONSTANT_BYTES = {7: 2, 8: 2, 16: 2, 19: 2, 20: 2, 9: 4, 10: 4, 11: 4, 12: 4, 17: 4, 18: 4, 15: 3}
 NUMBERS = {3: ">i", 4: ">f", 5: ">q", 6: ">d"}
 
 ANNOTATION = pa.struct([("annotation", pa.string()), ("params", pa.string())])
+PARAMETER_ANNOTATION = pa.struct([("parameter", pa.int32()), ("annotation", pa.string()), ("params", pa.string())])
 FIELD = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("descriptor", pa.string()), ("signature", pa.string()), ("modifiers", pa.int32()),
                    ("constant_value", pa.string()), ("annotations", pa.list_(ANNOTATION))])
 METHOD = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("descriptor", pa.string()), ("signature", pa.string()), ("modifiers", pa.int32()),
-                    ("throws", pa.list_(pa.string())), ("has_body", pa.bool_()), ("annotations", pa.list_(ANNOTATION))])
+                    ("throws", pa.list_(pa.string())), ("has_body", pa.bool_()), ("annotations", pa.list_(ANNOTATION)), ("parameter_annotations", pa.list_(PARAMETER_ANNOTATION))])
+CONTAINMENT = pa.struct([("inner", pa.string()), ("outer", pa.string())])
 PARSED = pa.schema([
     ("full_path", pa.string()), ("error", pa.string()), ("name", pa.string()), ("modifiers", pa.int32()), ("superclass", pa.string()),
     ("interfaces", pa.list_(pa.string())), ("major_version", pa.int32()), ("is_record", pa.bool_()), ("source_file", pa.string()),
     ("signature", pa.string()), ("annotations", pa.list_(ANNOTATION)), ("fields", pa.list_(FIELD)), ("methods", pa.list_(METHOD)), ("refs", pa.list_(pa.string())),
+    ("containment", pa.list_(CONTAINMENT)), ("enclosing_method", pa.string()),
 ])
 _NOTE = "array<struct<annotation:string,params:string>>"
 PARSED_DDL = (
     "full_path string, error string, name string, modifiers int, superclass string, interfaces array<string>, major_version int, is_record boolean, "
     f"source_file string, signature string, annotations {_NOTE}, "
     f"fields array<struct<pos:int,name:string,descriptor:string,signature:string,modifiers:int,constant_value:string,annotations:{_NOTE}>>, "
-    f"methods array<struct<pos:int,name:string,descriptor:string,signature:string,modifiers:int,throws:array<string>,has_body:boolean,annotations:{_NOTE}>>, "
-    "refs array<string>"
+    f"methods array<struct<pos:int,name:string,descriptor:string,signature:string,modifiers:int,throws:array<string>,has_body:boolean,annotations:{_NOTE},"
+    "parameter_annotations:array<struct<parameter:int,annotation:string,params:string>>>>, "
+    "refs array<string>, containment array<struct<inner:string,outer:string>>, enclosing_method string"
 )
 
 
@@ -126,6 +132,33 @@ def parse_class(data: bytes) -> dict:
                 found += [note(r) for _ in range(r.uint())]
         return found
 
+    def parameter_notes(attrs: dict) -> list:
+        found = []
+        for name in ("RuntimeVisibleParameterAnnotations", "RuntimeInvisibleParameterAnnotations"):
+            if name in attrs:
+                r = _Bytes(attrs[name])
+                found += [{"parameter": p, **note(r)} for p in range(r.uint(1)) for _ in range(r.uint())]
+        return found
+
+    def containment(attrs: dict) -> tuple[list, str | None]:
+        """(inner, outer) of all classes that the file tells of, and the method around this class, if it is local or anonymous."""
+        found, method = [], None
+        if "InnerClasses" in attrs:
+            r = _Bytes(attrs["InnerClasses"])
+            for _ in range(r.uint()):
+                inner, outer = r.uint(), r.uint()
+                r.take(4)
+                if inner and outer:
+                    found.append((const(inner), const(outer)))
+            if any(x == y for x, y in found):
+                raise ValueError("class inside itself")
+        if "EnclosingMethod" in attrs:
+            r = _Bytes(attrs["EnclosingMethod"])
+            outer, at = const(r.uint()), r.uint()
+            found.append((name, outer))
+            method = f"{outer}.{const(const(at) >> 16) if at else '<clinit>'}"
+        return [{"inner": x, "outer": y} for x, y in dict.fromkeys(found) if (x, y) != LOOKUP], method
+
     def utf(attrs: dict, name: str):
         return const(_Bytes(attrs[name]).uint()) if name in attrs else None
 
@@ -140,19 +173,20 @@ def parse_class(data: bytes) -> dict:
             attrs = attributes()
             constant = utf(attrs, "ConstantValue")
             throws = _Bytes(attrs["Exceptions"]) if "Exceptions" in attrs else None
-            m |= {"signature": utf(attrs, "Signature"), "annotations": notes(attrs), "constant_value": None if constant is None else str(constant)}
+            m |= {"signature": utf(attrs, "Signature"), "annotations": notes(attrs), "parameter_annotations": parameter_notes(attrs), "constant_value": None if constant is None else str(constant)}
             m |= {"has_body": "Code" in attrs, "throws": [const(throws.uint()) for _ in range(throws.uint())] if throws else []}
             out.append(m)
         return out
 
     fields, methods = members(), members()
     attrs = attributes()
+    inside, around = containment(attrs)
     classes = [const(i) for i, c in enumerate(pool) if c and c[0] == 7]
     refs = dict.fromkeys(c for c in classes if not c.startswith("["))
     return {
         "name": name, "modifiers": modifiers, "superclass": const(above) if above else None, "interfaces": interfaces, "major_version": major,
         "is_record": "Record" in attrs, "source_file": utf(attrs, "SourceFile"), "signature": utf(attrs, "Signature"),
-        "annotations": notes(attrs), "fields": fields, "methods": methods, "refs": list(refs),
+        "annotations": notes(attrs), "fields": fields, "methods": methods, "refs": list(refs), "containment": inside, "enclosing_method": around,
     }
 
 
@@ -178,7 +212,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 def classes(parsed: DataFrame) -> DataFrame:
     """Scanned classes, and a stub for each superclass or interface that was referred to but not scanned."""
-    own = parsed.where("error is null").select("name", "modifiers", "superclass", "interfaces", "major_version", "is_record", "source_file", "signature", "full_path", F.lit(False).alias("is_external"))
+    own = parsed.where("error is null").select("name", "modifiers", "superclass", "interfaces", "major_version", "is_record", "source_file", "signature", "enclosing_method", "full_path", F.lit(False).alias("is_external"))
     ups = edges(parsed).where("rel IN ('extends', 'implements')").groupBy(F.col("dst").alias("name")).agg(F.bool_or(F.col("rel") == "implements").alias("i"))
     stubs = ups.join(own, "name", "left_anti").select(
         "name", F.when(F.col("i"), INTERFACE).otherwise(0).alias("modifiers"), F.array().cast("array<string>").alias("interfaces"),
@@ -188,7 +222,7 @@ def classes(parsed: DataFrame) -> DataFrame:
 
 
 def _members(parsed: DataFrame, column: str) -> DataFrame:
-    return parsed.where("error is null").select(F.col("name").alias("owner"), F.explode(column).alias("m")).select("owner", "m.*").drop("annotations")
+    return parsed.where("error is null").select(F.col("name").alias("owner"), F.explode(column).alias("m")).select("owner", "m.*").drop("annotations", "parameter_annotations")
 
 
 def fields(parsed: DataFrame) -> DataFrame:
@@ -200,7 +234,7 @@ def methods(parsed: DataFrame) -> DataFrame:
 
 
 def annotations(parsed: DataFrame) -> DataFrame:
-    """(target_kind, owner, member, annotation, params): params is a JSON object."""
+    """(target_kind, owner, member, annotation, params): params is a JSON object; of a parameter, member ends in ``#`` and its position."""
     ok = parsed.where("error is null")
 
     def of(kind: str, column: str) -> DataFrame:
@@ -208,27 +242,32 @@ def annotations(parsed: DataFrame) -> DataFrame:
         return m.select(F.lit(kind).alias("target_kind"), "owner", F.concat("m.name", "m.descriptor").alias("member"), F.explode("m.annotations").alias("a"))
 
     own = ok.select(F.lit("class").alias("target_kind"), F.col("name").alias("owner"), F.lit(None).cast("string").alias("member"), F.explode("annotations").alias("a"))
-    return own.unionByName(of("field", "fields")).unionByName(of("method", "methods")).select("target_kind", "owner", "member", "a.*")
+    whose = ok.select(F.col("name").alias("owner"), F.explode("methods").alias("m")).select("owner", "m.name", "m.descriptor", F.explode("m.parameter_annotations").alias("a"))
+    of_parameters = whose.select(F.lit("parameter").alias("target_kind"), "owner", F.concat("name", "descriptor", F.lit("#"), F.col("a.parameter").cast("string")).alias("member"),
+                                 F.struct("a.annotation", "a.params").alias("a"))
+    return own.unionByName(of("field", "fields")).unionByName(of("method", "methods")).unionByName(of_parameters).select("target_kind", "owner", "member", "a.*")
 
 
 def edges(parsed: DataFrame) -> DataFrame:
-    """(rel, src, dst): extends (but not of the root class), implements, annotated and references."""
+    """(rel, src, dst): extends (but not of the root class), implements, annotated, references and, once each, outer (from inner classes)."""
     ok = parsed.where("error is null")
 
     def of(rel: str, targets) -> DataFrame:
         return ok.select(F.lit(rel).alias("rel"), F.col("name").alias("src"), F.explode(targets).alias("dst"))
 
     ups = of("extends", F.array("superclass")).where(F.col("dst").isNotNull() & (F.col("dst") != OBJECT))
+    outer = ok.select(F.explode("containment").alias("c")).select(F.lit("outer").alias("rel"), F.col("c.inner").alias("src"), F.col("c.outer").alias("dst")).distinct()
     refs = of("references", F.array_except("refs", F.array("name")))
-    return ups.unionByName(of("implements", "interfaces")).unionByName(of("annotated", F.transform("annotations", lambda a: a["annotation"]))).unionByName(refs)
+    return ups.unionByName(of("implements", "interfaces")).unionByName(of("annotated", F.transform("annotations", lambda a: a["annotation"]))).unionByName(refs).unionByName(outer)
 
 
 def named_above(parsed: DataFrame) -> DataFrame:
-    """Distinct (name) of the superclasses, interfaces, annotations and thrown exceptions that classes name."""
+    """Distinct (name) of the superclasses, interfaces, annotations and thrown exceptions that classes name, and of the classes around them."""
     ok = parsed.where("error is null")
     ups = ok.select(F.explode(F.array_compact(F.concat(F.array("superclass"), "interfaces"))).alias("name"))
     thrown = ok.select(F.explode("methods").alias("m")).select(F.explode("m.throws"))
-    return ups.union(annotations(parsed).select("annotation")).union(thrown).where("name is not null").distinct()
+    around = ok.select("name", F.explode("containment").alias("c")).where("c.inner = name").select("c.outer")
+    return ups.union(around).union(annotations(parsed).select("annotation")).union(thrown).where("name is not null").distinct()
 
 
 def extend_upwards(parsed: DataFrame, entries: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

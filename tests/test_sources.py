@@ -7,6 +7,7 @@ import os
 import zipfile
 
 import pyspark
+import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.sources import archives, classfile, sinks
@@ -142,7 +143,7 @@ def test_latest_change(spark):
 def test_scan_extended_upwards(spark):
     entries = archives.mask_duplicates(archives.read_entries(spark, [small_jar()])).where("node_type = 'CLASS_FILE'").cache()
     whole = {r.name: r for r in classfile.parse_classes(entries).where("error is null").collect()}
-    above = {n: {x for x in (r.superclass, *r.interfaces, *(a.annotation for m in (r, *r.fields, *r.methods) for a in m.annotations), *(t for m in r.methods for t in m.throws)) if x in whole} for n, r in whole.items()}
+    above = {n: {x for x in (r.superclass, *r.interfaces, *(a.annotation for m in (r, *r.fields, *r.methods) for a in m.annotations), *(a.annotation for m in r.methods for a in m.parameter_annotations), *(t for m in r.methods for t in m.throws), *(c.outer for c in r.containment if c.inner == n)) if x in whole} for n, r in whole.items()}
     deep = {n: set() for n in whole}
     for n in whole:
         todo = [n]
@@ -158,3 +159,39 @@ def test_scan_extended_upwards(spark):
     none = spark.createDataFrame([(n,) for n in above[start]], "name string")
     assert [r.name for r in classfile.extend_upwards(first, entries, none).collect()] == [start]
     entries.unpersist()
+
+
+def test_inner_classes(spark):
+    jar = next(j for j in sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "*.jar")), key=os.path.getsize) if sum("$" in n for n in zipfile.ZipFile(j).namelist()) > 10)
+    parsed = classfile.parse_classes(archives.read_entries(spark, [jar]).where("node_type = 'CLASS_FILE'")).where("error is null").cache()
+    names = {r.name for r in parsed.select("name").collect()}
+    outer = {(r.src, r.dst) for r in classfile.edges(parsed).where("rel = 'outer'").collect()}
+    assert outer and len(outer) == classfile.edges(parsed).where("rel = 'outer'").count()
+    assert all(x.startswith(y + "$") for x, y in outer if x in names and y in names)
+    for r in parsed.where("enclosing_method is not null").collect():
+        at, method = r.enclosing_method.rsplit(".", 1)
+        assert (r.name, at) in outer and method
+        rows = parsed.where(F.col("name") == at).select("methods").collect()
+        assert method == "<clinit>" or not rows or method in {m.name for m in rows[0].methods}
+    parsed.unpersist()
+
+
+def test_annotated_parameters():
+    u2 = lambda n: n.to_bytes(2, "big")
+    utf = lambda t: b"\x01" + u2(len(t)) + t.encode()
+    pool = [utf("p/A"), b"\x07" + u2(1), utf("m"), utf("(II)V"), utf("RuntimeVisibleParameterAnnotations"), utf("Lp/Note;"), utf("InnerClasses"), utf("EnclosingMethod"),
+            utf("p/B"), b"\x07" + u2(9), utf("run"), utf("()V"), b"\x0c" + u2(11) + u2(12)]
+    notes = b"\x02" + u2(0) + u2(1) + u2(6) + u2(0)
+    method = u2(1) + u2(3) + u2(4) + u2(1) + u2(5) + len(notes).to_bytes(4, "big") + notes
+    inner = u2(2) + u2(2) + u2(10) + u2(0) + u2(0) + u2(2) + u2(0) + u2(0) + u2(0)
+
+    def parsed(at, inner=inner):
+        attrs = u2(2) + u2(7) + len(inner).to_bytes(4, "big") + inner + u2(8) + (4).to_bytes(4, "big") + u2(10) + u2(at)
+        return classfile.parse_class(b"\xca\xfe\xba\xbe" + u2(0) + u2(61) + u2(len(pool) + 1) + b"".join(pool) + u2(1) + u2(2) + u2(0) + u2(0) + u2(0) + u2(1) + method + attrs)
+
+    got = parsed(13)
+    assert got["methods"][0]["parameter_annotations"] == [{"parameter": 1, "annotation": "p/Note", "params": "{}"}]
+    assert (got["containment"], got["enclosing_method"]) == ([{"inner": "p/A", "outer": "p/B"}], "p/B.run")
+    assert parsed(0)["enclosing_method"] == "p/B.<clinit>"
+    with pytest.raises(ValueError):
+        parsed(13, u2(1) + u2(2) + u2(2) + u2(0) + u2(0))
