@@ -10,15 +10,15 @@ from lodeframe.plans.scratch import materialize
 HOT_SHARE = 10_000
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, total: int, how: str = "inner", hot_share: int = HOT_SHARE) -> DataFrame:
     """Join ``rows`` (many per key) with ``per_key`` (one row per key), ``how`` being inner or left.
 
     ``weight`` is a column of ``per_key`` that bounds how many of ``rows`` carry the key and ``total`` bounds
-    their sum. Keys with ``weight * HOT_SHARE >= total`` number at most HOT_SHARE whatever the size of the
+    their sum. Keys with ``weight * hot_share >= total`` number at most ``hot_share`` whatever the size of the
     input, so they are broadcast; the others cannot be hot and go through an ordinary shuffled join.
     ``weight`` is dropped. Null keys match nothing. Both inputs are read twice: pass tables, not long plans.
     """
-    hot = F.col(weight) * F.lit(HOT_SHARE) >= F.lit(int(total))
+    hot = F.col(weight) * F.lit(hot_share) >= F.lit(int(total))
     few = F.broadcast(per_key.where(hot).drop(weight))
     rest = per_key.where(~hot).drop(weight)
     on_hot = rows.join(few, key)
