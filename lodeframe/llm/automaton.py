@@ -38,11 +38,18 @@ class MergeArcs:
         self.entry, self.exit, self.born = list(range(size)), list(range(size)), [BASE_TIME] * size
         self.gone: dict[tuple[int, int], int] = {}
         self.known: dict[int, bool] = {}
-        for k, (u, v, w) in enumerate(merges):
-            self.entry[w], self.exit[w], self.born[w] = u, v, k
-            self.gone[u, v] = k
-            if u == v:
-                self.gone[u, w] = k
+        self.merges = 0
+        for merge in merges:
+            self.add(*merge)
+
+    def add(self, u: int, v: int, w: int) -> None:
+        """The gadget of the next merge. What was looked up with ``exists`` before may change; only ``__call__`` keeps answers."""
+        k = self.merges
+        self.entry[w], self.exit[w], self.born[w] = u, v, k
+        self.gone[u, v] = k
+        if u == v:
+            self.gone[u, w] = k
+        self.merges += 1
 
     def __call__(self, x: int, y: int) -> bool:
         pair = x * len(self.born) + y
@@ -50,10 +57,11 @@ class MergeArcs:
         if found is None:
             if len(self.known) >= MAX_PAIRS:
                 self.known.clear()
-            found = self.known[pair] = self._exists(x, y)
+            found = self.known[pair] = self.exists(x, y)
         return found
 
-    def _exists(self, x: int, y: int) -> bool:
+    def exists(self, x: int, y: int) -> bool:
+        """Whether the merges so far leave the arc x -> y."""
         born, gone, before = self.born, self.gone, len(self.born) + 1
         while True:
             if gone.get((x, y), before) < before:

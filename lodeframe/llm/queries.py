@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lodeframe.llm.alignment import alignment_statistics
 from lodeframe.llm.bpe import bpe_decode, bpe_encode
 from lodeframe.llm.exact_dedup import exact_duplicates
 from lodeframe.llm.language_id import fold, predict_language, train_language_id
 from lodeframe.llm.line_dedup import dedup_lines
 from lodeframe.llm.packing import pack
+from lodeframe.llm.prefix_bpe import byte_bpe_decode, byte_bpe_encode
 from lodeframe.llm.quality_model import score_quality, train_quality
 from lodeframe.llm.quality_rules import judge
 from lodeframe.llm.secrets import count_kind, find_secrets, spans_text, train
 from lodeframe.llm.simhash import near_duplicates, unsigned_hex
 from lodeframe.llm.token_counts import count_tokens
+from lodeframe.llm.whitening import embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +174,28 @@ def op7_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     net = train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out))
     scored = score_quality(docs, net)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf: str, ranks: str | None = None) -> DataFrame:
+    path = ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    decoded = byte_bpe_decode(byte_bpe_encode(documents(spark, sf), path, split_pattern()), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = embedding_whitening(spark.read.parquet(f"{sf}/embeddings.parquet"), components=4, scale=256.0)
+    # Null beyond 64 bits; the operator's own column has 38 digits.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment_statistics(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), split_pattern(), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
