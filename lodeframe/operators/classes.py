@@ -2,19 +2,21 @@
 
 Inputs are the tables of ``sources.classfile``: classes (name, modifiers, superclass, interfaces, is_record), members
 (owner, pos, name, descriptor, modifiers), annotations (target_kind, owner, member, annotation) and edges (rel, src, dst).
-Everything is joins and closures; only override orders, which depend on the order of declarations, walk the ancestors
-of one class at a time.
+Everything is joins and closures, in declared order where that matters; only the order of methods places the interfaces of one
+class at a time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeframe.functions.predicates import ANNOTATION, ENUM, INTERFACE, has_bits
-from lodeframe.operators.graph import clean_edges, closure
+from lodeframe.operators.graph import clean_edges, closure, ordered_closure
+from lodeframe.plans.scratch import materialize
 
 #: The class that all others extend, and the package whose annotations are not reported as meta-annotations.
 ROOT, META_PACKAGE = "java/lang/Object", "java/lang/annotation/"
@@ -172,76 +174,87 @@ def member_annotations(annotations: DataFrame, kind: str) -> DataFrame:
 
 
 def unwrap_repeatable(annotations: DataFrame, containers: DataFrame) -> DataFrame:
-    """``annotations`` whose ``containers`` (container, annotation) are replaced by the instances in their value, a JSON array."""
-    rows = annotations.join(F.broadcast(containers.select(F.col("container"), F.col("annotation").alias("__one")).limit(10_000)), F.col("annotation") == F.col("container"), "left")
+    """``annotations`` whose ``containers`` (container, annotation) are replaced by the instances in their value, a JSON array.
+
+    A container that is listed more than once counts once, with its first annotation by name. Spark broadcasts the containers
+    where their size allows it.
+    """
+    known = containers.where("container IS NOT NULL").groupBy("container").agg(F.min("annotation").alias("__one"))
+    rows = annotations.join(known, F.col("annotation") == F.col("container"), "left")
     inner = F.from_json(F.get_json_object("params", "$.value"), "array<struct<annotation:string,params:string>>")
     plain = rows.where("container IS NULL").select(*annotations.columns)
     taken = rows.where("container IS NOT NULL").select(*(c for c in annotations.columns if c != "params"), "__one", F.explode(inner).alias("__i"))
     return plain.unionByName(taken.withColumns({"annotation": F.col("__one"), "params": F.col("__i.params")}).select(*annotations.columns))
 
 
-def _walk(name: str, up: dict, faces: dict, interfaces: set, fields: bool) -> list[str]:
-    """The override order of one class from its superclasses, ordered interfaces and the names that are interfaces."""
+def ordered_interfaces(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(name, prio from 0, interface): the interfaces of each class (by default all) in the order of declarations.
+
+    Those that it reaches itself come breadth-first, then in the same way those of its superclass, and so on up. ``edges``
+    are (rel, src, dst, pos); ``roots`` is (name).
+    """
+    wanted = None if roots is None else roots.select(F.col("name").alias("src"))
+    up = ordered_closure(edges.where("rel = 'extends'"), wanted).select(F.col("src").alias("name"), F.col("dst").alias("via"), F.col("depth").alias("above"))
+    names = edges.select("src").union(edges.select("dst")).distinct() if roots is None else wanted.distinct()
+    chain = materialize(up.unionByName(names.select(F.col("src").alias("name"), F.col("src").alias("via"), F.lit(0).alias("above"))), "chain")
+    reach = ordered_closure(edges.where("rel = 'implements'"), chain.select(F.col("via").alias("src")))
+    met = chain.join(reach.select(F.col("src").alias("via"), F.col("dst").alias("interface"), "depth", "path"), "via")
+    first = met.groupBy("name", "interface").agg(F.min(F.struct("above", "depth", "path")).alias("way"))
+    # A partition is the interfaces of one class.
+    return first.select("name", (F.row_number().over(Window.partitionBy("name").orderBy("way")) - 1).alias("prio"), "interface")
+
+
+def _placed(order: list[str], above: dict[str, list[str]]) -> list[str]:
+    """Interfaces in the order given, each followed by what it extends, and placed before the first of those already there."""
     out: list[str] = []
-    visited: set[str] = set()
-
-    def field(c: str) -> None:
-        if c not in visited:
-            visited.add(c)
-            out.append(c)
-            for f in faces.get(c, ()):
-                field(f)
-            if c in up:
-                field(up[c])
-
-    def method(c: str) -> None:
-        if c in visited:
-            return
-        visited.add(c)
-        own = faces.get(c, ())
-        if c in interfaces:
-            # Before the first of the interfaces it extends that has its place.
-            out.insert(min((out.index(f) for f in own if f in visited and f in out), default=len(out)), c)
-        else:
-            out.append(c)
-            if c in up:
-                method(up[c])
-        for f in own:
-            method(f)
-
-    (field if fields else method)(name)
+    todo = order[::-1]
+    while todo:
+        face = todo.pop()
+        if face not in out:
+            own = above[face]
+            places = {x: i for i, x in enumerate(out)}
+            out.insert(min((places[x] for x in own if x in places), default=len(out)), face)
+            todo += own[::-1]
     return out
 
 
-def override_order(edges: DataFrame, kinds: DataFrame, fields: bool = False) -> DataFrame:
+def override_order(edges: DataFrame, kinds: DataFrame, fields: bool = False, roots: DataFrame | None = None) -> DataFrame:
     """(name, prio from 0, declares): where each class looks for members, in order.
 
-    ``edges`` are (rel, src, dst, pos) with the relations extends and implements, pos being the place of an
-    interface in its declaration; ``kinds`` is (name, is_interface) of all classes. Fields: the class, its interfaces,
-    its superclass. Methods: the class, its superclass, its interfaces, and an interface before those it extends. The
-    interfaces of a name include those that they extend, nearest first, as a class lists them. A group
-    is the ancestors of one class.
+    ``edges`` are (rel, src, dst, pos) with the relations extends and implements, pos being the place of an interface in its
+    declaration; ``kinds`` is (name, is_interface) of all classes; ``roots`` (name) are the classes asked for, by default all of
+    ``kinds``. The interfaces of a class are those of ``ordered_interfaces``, so they hold those that its interfaces extend and
+    those of its superclasses. Fields: a depth-first walk through the interfaces and then the superclass. Methods: the class and
+    its superclasses, then interfaces, those of the topmost superclass first, and an interface before those that it extends.
+    A group is the interfaces of one class.
     """
-    both = closure(_of(edges, "extends", "implements")).select(F.col("src").alias("name"), F.col("dst").alias("via"))
-    all_names = kinds.select(F.col("name"), F.col("name").alias("via"))
-    reach = both.unionByName(all_names).distinct()
-    links = edges.select(F.col("src").alias("via"), "rel", "dst", "pos").join(kinds.select(F.col("name").alias("dst"), "is_interface"), "dst", "left")
-    own = kinds.select(F.col("name"), F.col("is_interface").alias("self_interface"))
-    local = reach.join(links, "via", "left").join(own, "name")
+    asked = materialize((kinds if roots is None else roots).select("name").distinct(), "asked")
+    above = ordered_closure(edges.where("rel IN ('extends', 'implements')"), asked.select(F.col("name").alias("src")))
+    around = materialize(asked.union(above.select("dst")).distinct(), "around")
+    faces = materialize(ordered_interfaces(edges, around), "faces")
+    itself = asked.select("name", F.lit(0).alias("prio"), F.col("name").alias("declares"))
+    if fields:
+        links = faces.select(F.col("name").alias("src"), F.col("interface").alias("dst"), F.col("prio").alias("pos"))
+        last = edges.where("rel = 'extends'").join(around.select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst", F.lit((1 << 31) - 1).alias("pos"))
+        walk = ordered_closure(links.unionByName(last), asked.select(F.col("name").alias("src")), breadth=False)
+        ranked = walk.select(F.col("src").alias("name"), F.row_number().over(Window.partitionBy("src").orderBy("path")).alias("prio"), F.col("dst").alias("declares"))
+        return itself.unionByName(ranked)
+    up = materialize(ordered_closure(edges.where("rel = 'extends'"), asked.select(F.col("name").alias("src"))).select(F.col("src").alias("name"), F.col("depth").alias("prio"), F.col("dst").alias("declares")), "chain")
+    chain = itself.unionByName(up)
+    # Interfaces in the order in which they are met from the topmost superclass down.
+    met = chain.join(faces.select(F.col("name").alias("declares"), F.col("prio").alias("place"), "interface"), "declares")
+    seen = met.groupBy("name", "interface").agg(F.min(F.struct((-F.col("prio")).alias("down"), "place")).alias("way"))
+    own = faces.groupBy(F.col("name").alias("interface")).agg(F.transform(F.sort_array(F.collect_list(F.struct("prio", "interface"))), lambda x: x["interface"]).alias("own"))
+    length = up.groupBy("name").agg(F.max("prio").alias("length"))
+    rows = seen.join(own, "interface", "left").join(length, "name", "left").select("name", "way.down", "way.place", "interface", F.coalesce("own", F.array().cast("array<string>")).alias("own"), F.coalesce("length", F.lit(0)).alias("length"))
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["name"].iloc[0]
-        known = rows[rows["rel"].notna()].sort_values(["via", "pos"], kind="stable")
-        up = {v: d for v, r, d in zip(known["via"], known["rel"], known["dst"]) if r == "extends"}
-        faces: dict[str, list[str]] = {}
-        for v, r, d in zip(known["via"], known["rel"], known["dst"]):
-            if r == "implements":
-                faces.setdefault(v, []).append(d)
-        interfaces = {d for d, i in zip(known["dst"], known["is_interface"]) if i == True} | ({name} if rows["self_interface"].iloc[0] else set())  # noqa: E712
-        found = _walk(name, up, faces, interfaces, fields)
-        return pd.DataFrame({"name": name, "prio": range(len(found)), "declares": found})
+        rows = rows.sort_values(["down", "place"])
+        found = _placed(list(rows["interface"]), {x: list(o) for x, o in zip(rows["interface"], rows["own"])})
+        first = int(rows["length"].iloc[0]) + 1
+        return pd.DataFrame({"name": rows["name"].iloc[0], "prio": range(first, first + len(found)), "declares": found})
 
-    return local.groupBy("name").applyInPandas(order, "name string, prio int, declares string")
+    return chain.unionByName(rows.groupBy("name").applyInPandas(order, "name string, prio int, declares string"))
 
 
 def visible_members(orders: DataFrame, members: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -269,8 +282,7 @@ def has_member_annotation(orders: DataFrame, annotations: DataFrame, kind: str,
 
 def parse_target(query: str) -> tuple[str, str, str | None] | None:
     """(whole, class part, member part) of a ``Class#member`` query, lower-cased with slashes; None without a class."""
-    raw = query.strip().replace("\\", "/").lower()
-    raw = raw.removesuffix(".class").replace(".", "/").replace("$", "/")
+    raw = query.strip().removesuffix(".class").replace("\\", "/").lower().replace(".", "/").replace("$", "/")
     owner, mark, member = raw.rpartition("#")
     owner, found = (owner, member) if mark else (raw, None)
     return (raw, owner, found) if owner.strip() else None
@@ -291,9 +303,12 @@ def matches_member(target: tuple, owner: Column, name: Column) -> Column:
 
 
 def matches_descriptor(target: tuple, descriptor: Column) -> Column:
-    """A type in the descriptor is the class part, or ends in it after a slash."""
-    types = F.regexp_extract_all(F.translate(F.lower(descriptor), "$", "/"), F.lit("l([^;]*);"), F.lit(1))
-    return F.coalesce(F.exists(types, lambda t: (t == target[1]) | t.endswith("/" + target[1])), F.lit(False))
+    """The descriptor names the class part, or a class with its simple name, which may also begin after any ``l`` of a name."""
+    low, simple = F.lower(descriptor), target[1].rpartition("/")[2]
+    found = low.contains(f"l{target[1]};")
+    if simple:
+        found = found | low.rlike("l([^;]*/)?" + re.escape(simple) + ";")
+    return F.coalesce(found, F.lit(False))
 
 
 def find_usages(references: DataFrame, query: str) -> DataFrame:

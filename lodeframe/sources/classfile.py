@@ -88,19 +88,44 @@ def _constants(b: _Bytes) -> list:
     return pool
 
 
-def parse_class(data: bytes) -> dict:
-    """The columns of ``PARSED`` after error; ValueError for what isn't a class file."""
+class Pool:
+    """The constants of a class file. Called with an index it gives a value, of classes and strings their text."""
+
+    def __init__(self, b: _Bytes) -> None:
+        self.items = _constants(b)
+
+    def __call__(self, i: int):
+        if not 0 < i < len(self.items) or self.items[i] is None:
+            raise ValueError(f"constant index {i}")
+        tag, v = self.items[i]
+        return self(v) if tag in (7, 8, 16, 19, 20) else v
+
+    def pair(self, i: int, *tags: int, split: int = 16) -> tuple[int, int]:
+        """The two halves of a constant of one of the ``tags``."""
+        if not 0 < i < len(self.items) or self.items[i] is None or self.items[i][0] not in tags:
+            raise ValueError(f"constant index {i}")
+        v = self.items[i][1]
+        return v >> split, v & ((1 << split) - 1)
+
+    def name_and_type(self, i: int) -> tuple[str, str]:
+        name, descriptor = self.pair(i, 12)
+        return self(name), self(descriptor)
+
+    def member(self, i: int) -> tuple[str, str, str]:
+        """Owner, name and descriptor of a field or method reference."""
+        owner, rest = self.pair(i, 9, 10, 11)
+        return (self(owner), *self.name_and_type(rest))
+
+
+def read_class(data: bytes) -> tuple[dict, Pool, list[tuple[int, bytes]], dict]:
+    """The columns of ``PARSED`` after error, the constants, (position, Code attribute) of methods with a body, and the class's
+    attributes; ValueError for what isn't a class file."""
     b = _Bytes(data)
     if b.uint(4) != 0xCAFEBABE:
         raise ValueError("no class file")
     b.take(2)
-    major, pool = b.uint(), _constants(b)
-
-    def const(i: int):
-        if not 0 < i < len(pool) or pool[i] is None:
-            raise ValueError(f"constant index {i}")
-        tag, v = pool[i]
-        return const(v) if tag in (7, 8, 19, 20) else v
+    major, pool = b.uint(), Pool(b)
+    const = pool
 
     def value(r: _Bytes):
         tag = chr(r.uint(1))
@@ -174,20 +199,31 @@ def parse_class(data: bytes) -> dict:
             constant = utf(attrs, "ConstantValue")
             throws = _Bytes(attrs["Exceptions"]) if "Exceptions" in attrs else None
             m |= {"signature": utf(attrs, "Signature"), "annotations": notes(attrs), "parameter_annotations": parameter_notes(attrs), "constant_value": None if constant is None else str(constant)}
+            if "Code" in attrs:
+                codes.append((pos, attrs["Code"]))
             m |= {"has_body": "Code" in attrs, "throws": [const(throws.uint()) for _ in range(throws.uint())] if throws else []}
             out.append(m)
         return out
 
-    fields, methods = members(), members()
+    codes: list[tuple[int, bytes]] = []
+    fields = members()
+    codes.clear()
+    methods = members()
     attrs = attributes()
     inside, around = containment(attrs)
-    classes = [const(i) for i, c in enumerate(pool) if c and c[0] == 7]
+    classes = [const(i) for i, c in enumerate(pool.items) if c and c[0] == 7]
     refs = dict.fromkeys(c for c in classes if not c.startswith("["))
-    return {
+    row = {
         "name": name, "modifiers": modifiers, "superclass": const(above) if above else None, "interfaces": interfaces, "major_version": major,
         "is_record": "Record" in attrs, "source_file": utf(attrs, "SourceFile"), "signature": utf(attrs, "Signature"),
         "annotations": notes(attrs), "fields": fields, "methods": methods, "refs": list(refs), "containment": inside, "enclosing_method": around,
     }
+    return row, pool, codes, attrs
+
+
+def parse_class(data: bytes) -> dict:
+    """The columns of ``PARSED`` after error; ValueError for what isn't a class file."""
+    return read_class(data)[0]
 
 
 def parse_classes(entries: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

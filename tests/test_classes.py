@@ -1,5 +1,7 @@
 """The catalog over class tables on small fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodeframe.functions import predicates as P
@@ -48,7 +50,8 @@ def test_override_orders(spark):
     kinds = spark.createDataFrame([("K", False), ("P", False), ("A", True), ("B", True), ("Z", True)], "name string, is_interface boolean")
     order = lambda **o: [r.declares for r in C.override_order(edges, kinds, **o).where("name = 'K'").orderBy("prio").collect()]
     assert order() == ["K", "P", "Z", "B", "A"]
-    assert order(fields=True) == ["K", "A", "B", "P", "Z"]
+    assert order(fields=True) == ["K", "A", "B", "Z", "P"]
+    assert order(roots=kinds.where("name = 'K'")) == ["K", "P", "Z", "B", "A"] and C.override_order(edges, kinds, roots=kinds.where("name = 'P'")).count() == 2
     members = spark.createDataFrame([("P", 0, "f", "()V"), ("A", 0, "f", "()V"), ("A", 1, "g", "()V"), ("B", 0, "g", "()V"), ("P", 1, "<init>", "()V")], "owner string, pos int, name string, descriptor string")
     seen = C.visible_members(C.override_order(edges, kinds), members, ["name", "descriptor"])
     assert rows(seen.where("class_name = 'K'"), "name", "owner") == [("f", "P"), ("g", "B")]
@@ -57,6 +60,85 @@ def test_override_orders(spark):
     assert rows(C.declared_methods(members, constructors=True, normal=False), "owner") == ["P"] and C.declared_methods(members, "f").count() == 2
 
 
+def plain_orders(edges, name, interfaces):
+    """(fields, methods) of one class by the rules themselves, as recursions."""
+    up = {s: d for r, s, d, _ in edges if r == "extends"}
+    faces = {}
+    for r, s, d, p in sorted(edges, key=lambda e: e[3]):
+        if r == "implements":
+            faces.setdefault(s, []).append(d)
+
+    def reach(c):
+        out = list(dict.fromkeys(faces.get(c, [])))
+        for x in out:
+            out += [y for y in faces.get(x, []) if y not in out]
+        return out
+
+    def all_of(c):
+        out = []
+        while c:
+            out += [x for x in reach(c) if x not in out]
+            c = up.get(c)
+        return out
+
+    def field(c, out):
+        if c not in out:
+            out.append(c)
+            for x in (*all_of(c), *([up[c]] if c in up else [])):
+                field(x, out)
+        return out
+
+    def method(c, out):
+        if c in out:
+            return out
+        if c not in interfaces:
+            out.append(c)
+            if c in up:
+                method(up[c], out)
+        else:
+            out.insert(min((out.index(x) for x in all_of(c) if x in out), default=len(out)), c)
+        for x in all_of(c):
+            method(x, out)
+        return out
+
+    return field(name, []), method(name, [])
+
+
+def test_override_orders_of_random_hierarchies(spark):
+    draw = random.Random(6)
+    edges, kinds = [("implements", "1K", "1Y", 0), ("implements", "1K", "1I", 1), ("implements", "1I", "1X", 0), ("implements", "1X", "1Y", 0), ("extends", "2K", "2P", 0), ("implements", "2P", "2Z", 0)], []
+    for n in range(25):
+        names = [f"{n}_{i}" for i in range(9)]
+        faces = names[:5]
+        for i, x in enumerate(names):
+            if i > 5:
+                edges.append(("extends", x, names[draw.randrange(5, i)], 0))
+            below = faces[:i]
+            for pos, y in enumerate(draw.sample(below, draw.randrange(0, min(3, len(below)) + 1))):
+                edges.append(("implements", x, y, pos))
+        kinds += [(x, x in faces) for x in names]
+    kinds += [(x, x[1] in "YIXZ") for x in ("1K", "1Y", "1I", "1X", "2K", "2P", "2Z")]
+    interfaces = {x for x, i in kinds if i}
+    tables = spark.createDataFrame(edges, "rel string, src string, dst string, pos int"), spark.createDataFrame(kinds, "name string, is_interface boolean")
+    for fields in (True, False):
+        got = {}
+        for r in C.override_order(*tables, fields=fields).orderBy("prio").collect():
+            got.setdefault(r["name"], []).append((r["prio"], r["declares"]))
+        want = {x: list(enumerate(plain_orders(edges, x, interfaces)[0 if fields else 1])) for x, _ in kinds}
+        assert got == want
+    assert [d for _, d in got["1K"]] == ["1K", "1I", "1X", "1Y"]
+    faces = C.ordered_interfaces(tables[0], spark.createDataFrame([("1K",), ("2K",)], "name string"))
+    assert rows(faces, "name", "prio", "interface") == [("1K", 0, "1Y"), ("1K", 1, "1I"), ("1K", 2, "1X"), ("2K", 0, "2Z")]
+
+
+def test_unwrapping_knows_every_container(spark):
+    marks = spark.range(10_001).select(F.lit("class").alias("target_kind"), F.concat(F.lit("k"), "id").alias("owner"), F.concat(F.lit("Tags"), "id").alias("annotation"),
+                                       F.lit('{"value": [{"annotation": "Tag", "params": "1"}]}').alias("params"))
+    boxes = marks.select(F.col("annotation").alias("container"), F.lit("Tag").alias("annotation"))
+    found = C.unwrap_repeatable(marks, boxes.unionByName(boxes.limit(5)))
+    assert found.where("annotation = 'Tag'").count() == found.count() == 10_001
+
+
 def test_annotations(spark):
     marks = spark.createDataFrame([
         ("class", "P", "M"), ("class", "M", "N"), ("class", "N", "M"), ("class", "M", "java/lang/annotation/Inherited"), ("class", "Q", "N"), ("method", "Q", "M"),
