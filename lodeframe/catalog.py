@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodeframe.functions import bytes as byte_columns, predicates, texts
-from lodeframe.operators import classes, datasets, overrides, relations, renames, search, trees
+from lodeframe.operators import classes, datasets, flow, overrides, relations, renames, search, trees, usages as uses
 from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
 from lodeframe.operators.lines import lines
 from lodeframe.sources.archives import elements_with, elements_without, manifest_changes
@@ -202,13 +202,13 @@ def annotated_with_any(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    a = table(spark, sf, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("is_direct"))
-    b = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("name"), (F.col("o_totalprice") > 200000).alias("is_direct"))
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("is_direct"))
+    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_totalprice") > 200000).alias("is_direct"))
     return a, b
 
 
-SETS_SQL = """WITH a AS (SELECT c_custkey AS name, bool_or(c_mktsegment = 'BUILDING') AS d FROM customer WHERE c_nationkey < 12 GROUP BY 1),
-              b AS (SELECT o_custkey AS name, bool_or(o_totalprice > 200000) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) """
+SETS_SQL = """WITH a AS (SELECT c_custkey AS name, bool_or(c_mktsegment = 'BUILDING') AS d FROM customer GROUP BY 1),
+              b AS (SELECT o_custkey AS name, bool_or(o_totalprice > 200000) AS d FROM orders GROUP BY 1) """
 
 
 @query("set_union", SETS_SQL + "SELECT name, bool_or(d) AS is_direct FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY name")
@@ -441,9 +441,9 @@ def byte_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.byte_hits(table(spark, sf, "documents"), "doc_id", "text", b"license")
 
 
-@query("quick_open", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'green')")
+@query("quick_open", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
 def open_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    return search.quick_open(table(spark, sf, "part"), "p_name", "Green").select("p_partkey", "p_name")
+    return search.quick_open(table(spark, sf, "part"), "p_name", "Ring").select("p_partkey", "p_name")
 
 
 @query("preorder", """WITH t AS (SELECT 'r' || r_regionkey AS node, r_regionkey AS r, -1 AS n, -1 AS c FROM region
@@ -519,3 +519,112 @@ def elements_without_resource(spark: SparkSession, sf: str) -> DataFrame:
 def shared_prefix(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("o_orderpriority"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority")
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), texts.common_prefix(a, b).alias("n_prefix"), texts.common_suffix(a, b).alias("n_suffix"))
+
+
+#: Part names are classes of two parts; parts name them, lines use members of theirs, descriptors mention them.
+@query(
+    "usage_rules",
+    r"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '/') AS c, split_part(p_name, ' ', 2) AS s FROM part),
+         k AS (SELECT *, contains(c, 'small/ring') OR contains('small/ring#user', s) OR contains(s, 'small/ring#user') AS own,
+                      regexp_matches('(l' || c || ';)v', 'l([^;]*/)?ring;') AS named FROM p)
+       SELECT DISTINCT * FROM (
+         SELECT 'part/' || p_partkey AS path, 1 AS line, 'CLASS_REFERENCE' AS type, 'extends ' || c AS text FROM k WHERE own
+         UNION ALL SELECT 'part/' || p_partkey, 1, 'METHOD_CALL', 'method make(L' || c || ';)V' FROM k WHERE named
+         UNION ALL SELECT 'order/' || l_orderkey, l_linenumber, 'METHOD_CALL', 'invokevirtual ' || c || '.use' || l_returnflag || '()V' FROM lineitem JOIN k ON p_partkey = l_partkey WHERE own)""",
+)
+def usage_rules(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select("p_partkey", F.translate("p_name", " ", "/").alias("owner"))
+    none = F.lit(None).cast("string")
+    row = lambda df, path, line, kind, text, rule, owner=none, name=none, descriptor=none: df.select(path.alias("path"), line.cast("int").alias("line"), F.lit(kind).alias("type"), text.alias("text"), F.lit(rule).alias("rule"), owner.alias("owner"), name.alias("name"), descriptor.alias("descriptor"))
+    path, used = F.concat(F.lit("part/"), "p_partkey"), F.concat(F.lit("use"), "l_returnflag")
+    described = F.concat(F.lit("(L"), "owner", F.lit(";)V"))
+    lined = table(spark, sf, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = row(part, path, F.lit(1), uses.CLASS, F.concat(F.lit("extends "), "owner"), "class", F.col("owner"))
+    rows = rows.unionByName(row(part, path, F.lit(1), uses.CALL, F.concat(F.lit("method make"), described), "descriptor", name=F.lit("make"), descriptor=described))
+    rows = rows.unionByName(row(lined, F.concat(F.lit("order/"), "l_orderkey"), F.col("l_linenumber"), uses.CALL, F.concat(F.lit("invokevirtual "), "owner", F.lit("."), used, F.lit("()V")), "member", F.col("owner"), used, F.lit("()V")))
+    return uses.search_usages(rows, "small.ring#useR")
+
+
+#: Suppliers extend nations, which implement regions. A line of an order calls a method of its supplier, reads a field of it, and
+#: calls one constructor that all lines call.
+@query(
+    "use_graph",
+    """WITH s AS (SELECT s_suppkey AS s, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+       own AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS f FROM lineitem WHERE l_returnflag = 'A'),
+       l AS (SELECT l_orderkey || '.' || l_linenumber AS who, s.*, l_linenumber AS f, l_returnflag AS g FROM lineitem JOIN s ON s = l_suppkey),
+       u AS (SELECT who, 'call' AS kind, CASE WHEN own.s IS NOT NULL THEN 's' || l.s WHEN l.f = n % 7 + 1 THEN 'n' || n WHEN l.f = r + 1 THEN 'r' || r END AS target, 'f' || l.f AS target_member
+               FROM l LEFT JOIN own ON own.s = l.s AND own.f = l.f
+             UNION ALL SELECT who, 'field', CASE WHEN g <> 'R' THEN 'r' || r END, 'g' || g FROM l
+             UNION ALL SELECT who, 'call', 'root', '<init>' FROM l)
+       SELECT kind, target, target_member, count(DISTINCT who) AS n_users, count(*) AS n_uses FROM u GROUP BY 1, 2, 3""",
+)
+def use_graph(spark: SparkSession, sf: str) -> DataFrame:
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    supplier, nation, region, line = (table(spark, sf, t) for t in ("supplier", "nation", "region", "lineitem"))
+    up = supplier.select(F.lit("extends").alias("rel"), named("s", "s_suppkey").alias("src"), named("n", "s_nationkey").alias("dst"), F.lit(0).alias("pos"))
+    edges = up.unionByName(nation.select(F.lit("implements").alias("rel"), named("n", "n_nationkey").alias("src"), named("r", "n_regionkey").alias("dst"), F.lit(0).alias("pos")))
+    kinds = edges.select(F.col("src").alias("name"), F.lit(False).alias("is_interface")).union(region.select(named("r", "r_regionkey"), F.lit(True)))
+    roots = supplier.select(named("s", "s_suppkey").alias("name"))
+    nothing = F.lit("()V").alias("descriptor")
+    methods = line.where("l_returnflag = 'A'").select(named("s", "l_suppkey").alias("owner"), named("f", "l_linenumber").alias("name"), nothing).distinct()
+    methods = methods.unionByName(nation.select(named("n", "n_nationkey").alias("owner"), F.concat(F.lit("f"), F.col("n_nationkey") % 7 + 1).alias("name"), nothing))
+    methods = methods.unionByName(region.select(named("r", "r_regionkey").alias("owner"), F.concat(F.lit("f"), F.col("r_regionkey") + 1).alias("name"), nothing))
+    methods = methods.unionByName(region.limit(1).select(F.lit("root").alias("owner"), F.lit("<init>").alias("name"), nothing))
+    fields = region.select(named("r", "r_regionkey").alias("owner"), F.explode(F.array(F.lit("gA"), F.lit("gN"))).alias("name"), nothing)
+    who = (named("o", "l_orderkey").alias("src"), named("m", "l_linenumber").alias("member"))
+    of = lambda kind, owner, name: line.select(*who, F.lit(kind).alias("kind"), owner.alias("owner"), name.alias("name"), nothing)
+    made = of("call", named("s", "l_suppkey"), named("f", "l_linenumber")).unionByName(of("field", named("s", "l_suppkey"), named("g", "l_returnflag"))).unionByName(of("call", F.lit("root"), F.lit("<init>")))
+    orders = [classes.override_order(edges, kinds, fields=f, roots=roots) for f in (False, True)]
+    found = uses.resolve_uses(made, orders[0], methods, orders[1], fields)
+    return found.groupBy("kind", F.col("declared_in").alias("target"), F.col("name").alias("target_member")).agg(F.count_distinct("src", "member").alias("n_users"), F.count("*").alias("n_uses"))
+
+
+#: Customers are methods, their lines instructions by order: one in six each jumps, branches, returns or switches. A handler covers
+#: the first half of each.
+FLOW_SQL = """WITH i AS (SELECT o_custkey AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+            count(*) OVER (PARTITION BY o_custkey) AS n, l_partkey % 6 AS k, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+     j AS (SELECT m, pos, k, s % n AS t, p % n AS u FROM i),
+     h AS (SELECT DISTINCT m, 0 AS low, n // 2 AS high, m % n AS handler, CASE WHEN m % 3 = 0 THEN 'any' ELSE 'E' || (m % 3) END AS label FROM i),
+     leads AS (SELECT m, t AS pos FROM j WHERE k IN (0, 1, 3) UNION SELECT m, u FROM j WHERE k = 3 UNION SELECT m, 0 FROM j UNION SELECT m, handler FROM h),
+     x AS (SELECT j.*, CASE WHEN leads.m IS NOT NULL OR lag(k IN (1, 2, 3)) OVER (PARTITION BY j.m ORDER BY j.pos) THEN 1 ELSE 0 END AS b FROM j LEFT JOIN leads ON leads.m = j.m AND leads.pos = j.pos),
+     y AS (SELECT *, sum(b) OVER (PARTITION BY m ORDER BY pos) - 1 AS block FROM x),
+     z AS (SELECT m, CAST(block AS INTEGER) AS block, min(pos) AS first, max(pos) AS last, max_by(k, pos) AS k, max_by(t, pos) AS t, max_by(u, pos) AS u FROM y GROUP BY 1, 2)
+"""
+
+
+def flow_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    order = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = rows.select(F.col("o_custkey").alias("m"), (F.row_number().over(order) - 1).alias("at"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    k, goal = F.col("p") % 6, lambda label, at: F.struct(label.cast("string").alias("label"), at.cast("int").alias("offset"))
+    to, none = goal(F.lit(None), F.col("s") % F.col("n")), F.array().cast("array<struct<label:string,offset:int>>")
+    cases = F.array(goal(F.lit("1"), F.col("s") % F.col("n")), goal(F.lit("2"), F.col("p") % F.col("n")), goal(F.lit("default"), F.lit(0)))
+    op = F.when(k == 0, "goto").when(k == 1, "ifeq").when(k == 2, "ireturn").when(k == 3, "tableswitch").otherwise("nop")
+    kind = F.when(k < 2, "jump").when(k == 3, "switch").otherwise("plain")
+    code = rows.select("m", "at", F.col("at").alias("offset"), op.alias("op"), kind.alias("kind"), F.when(k < 2, F.array(to)).when(k == 3, cases).otherwise(none).alias("targets"))
+    part = F.col("m") % 3
+    handlers = rows.groupBy("m").agg(F.max("n").alias("n")).select("m", F.lit(0).alias("start"), F.floor(F.col("n") / 2).cast("int").alias("end"), (F.col("m") % F.col("n")).cast("int").alias("handler"),
+                                                                   F.when(part != 0, F.concat(F.lit("java/lang/E"), part)).alias("type"))
+    return code, handlers
+
+
+@query("basic_blocks", FLOW_SQL + "SELECT m, block, first, last, CASE k WHEN 0 THEN 'goto' WHEN 1 THEN 'ifeq' WHEN 2 THEN 'ireturn' WHEN 3 THEN 'tableswitch' ELSE 'nop' END AS op FROM z")
+def basic_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return flow.basic_blocks(*flow_tables(spark, sf), by=["m"]).select("m", "block", "first", "last", "op")
+
+
+@query(
+    "flow_edges",
+    FLOW_SQL
+    + """, e AS (SELECT z.m, z.block AS src, o.block AS dst, CASE z.k WHEN 0 THEN '' ELSE 'true' END AS label, CASE z.k WHEN 0 THEN 'solid' ELSE 'dashed' END AS style FROM z JOIN z o ON o.m = z.m AND o.first = z.t WHERE z.k IN (0, 1)
+       UNION ALL SELECT z.m, z.block, o.block, CASE z.k WHEN 1 THEN 'false' ELSE '' END, CASE z.k WHEN 1 THEN 'dashed' ELSE 'solid' END FROM z JOIN z o ON o.m = z.m AND o.block = z.block + 1 WHERE z.k IN (1, 4, 5)
+       UNION ALL SELECT z.m, z.block, o.block, CASE WHEN z.t = z.u THEN '2 cases' ELSE 'case' END, 'dashed' FROM z JOIN z o ON o.m = z.m AND o.first = z.t WHERE z.k = 3
+       UNION ALL SELECT z.m, z.block, o.block, 'case', 'dashed' FROM z JOIN z o ON o.m = z.m AND o.first = z.u WHERE z.k = 3 AND z.t <> z.u
+       UNION ALL SELECT m, block, 0, 'default', 'dashed' FROM z WHERE k = 3
+       UNION ALL SELECT z.m, z.block, o.block, h.label, 'dotted' FROM z JOIN h ON h.m = z.m JOIN z o ON o.m = z.m AND o.first = h.handler WHERE z.first <= h.high AND z.last >= h.low)
+       SELECT m, src, dst, label, style, count(*) AS n FROM e GROUP BY ALL""",
+)
+def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
+    code, handlers = flow_tables(spark, sf)
+    edges = flow.flow_edges(flow.basic_blocks(code, handlers, by=["m"]), handlers, by=["m"])
+    return edges.groupBy("m", "src", "dst", "label", "style").agg(F.count("*").alias("n"))
