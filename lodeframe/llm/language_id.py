@@ -1,8 +1,8 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 N-grams of one to three characters are hashed into a fixed number of features. Document frequencies come from
-all labelled rows; the regression is trained on a bounded sample of them (``per_lang`` rows of each language, about,
-fewer where there are many languages) with follow-the-regularised-leader and elastic-net penalties, and a
+all labelled rows; the regression is trained on a bounded sample of them (``per_lang`` rows of each language,
+fewer where there are many languages or rows; see ``sampling``) with follow-the-regularised-leader and elastic-net penalties, and a
 temperature is then fitted on a part of the sample that training does not see. The model is a table of
 features by languages; documents are scored where they lie, in one pass without a shuffle.
 
@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodeframe.llm.sampling import sample_rows
+
 BITS, ORDERS, STRETCH, ROWS = 14, 3, 1 << 18, 512
 PER_LANG, SAMPLE = 800, 6_000
 LETTER = regex.compile(r"\p{L}")
@@ -84,10 +86,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def _sample(labelled: DataFrame, langs: dict[str, int], id_col: str, text_col: str, lang_col: str, per_lang: int) -> list:
-    """(lang, part 0 to 4, features, term frequencies) of a bounded sample, by hash of the id."""
+    """(lang, part 0 to 4, features, term frequencies) of a bounded sample, by hash of id and text."""
     most = min(per_lang, max(20, SAMPLE // max(1, len(langs))))
-    share = F.coalesce(*(F.when(F.col(lang_col) == k, F.lit(round(1e6 * min(1.0, most / n)))) for k, n in langs.items()))
-    taken = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share)
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    taken = sample_rows(rows, ["lang", "id", "text"], langs, most, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +99,8 @@ def _sample(labelled: DataFrame, langs: dict[str, int], id_col: str, text_col: s
                 pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([tf.astype("<f4").tobytes() for _, tf in found], pa.binary()),
             ], names=["lang", "part", "at", "tf"])
 
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(5)).cast("int")
-    rows = taken.select(F.col(lang_col), part, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, "lang string, part int, at binary, tf binary")
+    part = F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(5)).cast("int")
+    rows = taken.select("lang", part, "text").mapInArrow(run, "lang string, part int, at binary, tf binary")
     return sorted((r["lang"], r["part"], bytes(r["at"]), bytes(r["tf"])) for r in rows.collect())
 
 

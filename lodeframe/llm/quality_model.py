@@ -7,7 +7,8 @@ with more than ``BAG`` passages give that many, evenly spaced, and is a few thou
 where they lie, every passage of the whole text, in one pass without a shuffle.
 
 Null and empty texts are one empty passage. Where there are no labels every score is 0.5. Rows are independent, so
-repeated rows and ties need nothing special; a document labelled twice counts twice. Further columns are ignored.
+repeated rows and ties need nothing special. A document with two labels is learned from with both; rows that repeat id, text
+and label count once. Rows with a null id have no label. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodeframe.llm.sampling import sample_rows, smallest_keys
+
 #: Characters of a passage; bounds of the training sample in documents, passages of one document and passages in all
 #: (3 KB each on the driver); rows and passages handled at once.
 PASSAGE, SAMPLE, BAG, PASSAGES, ROWS, BLOCK = 1000, 6_000, 64, 40_000, 256, 200
@@ -169,16 +172,22 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Net
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG, passages: int = PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
     """Network from a sample of the labelled documents; None without labels.
 
-    The sample holds about ``sample`` documents at most, ``bag`` passages of each and about ``passages`` in all, so what
-    the driver collects does not grow with the texts.
+    The sample holds ``sample`` documents at most, ``bag`` passages of each and ``passages`` in all, so what the driver collects
+    does not grow with the texts; a document that is alone over ``passages`` isn't learned from.
     """
     labels = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
-    share = min(1.0, sample / max(1, labels.count()))
-    drawn = lambda part: F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.lit(round(1e6 * part))
-    some = labels.where(drawn(share))
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(F.broadcast(some), docs[id_col] == F.col("__id"))
+    # At most ``sample`` labels, so they may be broadcast; documents that repeat an id are drawn again below.
+    some = sample_rows(labels, ["__id", "__y"], {"": labels.count()}, sample)
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(F.broadcast(some), docs[id_col] == F.col("__id")).select("__id", "__y", "__t")
     size = F.least(F.lit(bag), F.ceil(F.greatest(F.coalesce(F.length("__t"), F.lit(0)), F.lit(1)) / PASSAGE))
-    total = rows.agg(F.sum(size)).first()[0] or 0
+    last, total = None, 0
+    for h, n in smallest_keys(rows, ["__id", "__y", "__t"], {"": rows.count()}, sample, size=size)[""]:
+        total += n
+        if total > passages:
+            break
+        last = h
+    if last is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,10 +196,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag:
                 found = [_spaced(t, bag) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["y", "x"])
 
-    rows = rows.where(drawn(share * min(1.0, passages / max(1, total)))).select("__y", "__t")
+    rows = sample_rows(rows, ["__id", "__y", "__t"], {}, sample, passes={"": last}).select("__y", "__t")
     taken = sorted((r["y"], bytes(r["x"])) for r in rows.mapInArrow(run, "y double, x binary").collect())
-    if not taken:
-        return None
     return fit([np.frombuffer(x, "<f2").reshape(-1, FEATURES) for _, x in taken], np.array([y for y, _ in taken]))
 
 

@@ -17,6 +17,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodeframe.llm.sampling import sample_rows
+
 #: The base patterns, as Java regular expressions, in the order in which ties are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -25,7 +27,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Symbols of the models; a candidate is a run of them, or what the base spans leave of one.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}"
-#: Random strings and documents to learn from (at most about so many), least length and log-likelihood ratio of a secret.
+#: Random strings and documents to learn from (at most so many), least length and log-likelihood ratio of a secret.
 SAMPLE_STRINGS, SAMPLE_DOCS, MIN_CHARS, MIN_RATIO = 6_000, 5_000, 20, 12.0
 
 
@@ -117,16 +119,15 @@ def blanked(text: Column, spans: Column) -> Column:
 def labelled_samples(docs: DataFrame, strings: int = SAMPLE_STRINGS, doc_bound: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sample, is_random): random strings over usual alphabets, and ordinary runs of a bounded sample of documents.
 
-    The documents are those with the smallest hashes, about ``doc_bound`` of them; what base matches cover, values of
+    The documents are the ``doc_bound`` with the smallest hashes of id and text (``sampling``); what base matches cover, values of
     assignments included, is left out. The random strings are digests of counters, so they are the same on every run.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     alphabets = F.array(digest, F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", "-_"), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""))
     random = spark.range(strings).select(F.get(alphabets, F.pmod("id", F.lit(5)).cast("int")).alias("sample"), F.lit(True).alias("is_random"))
-    part = min(1.0, doc_bound / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(round(part * 1_000_000)))
-    some = some.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    some = sample_rows(rows, ["id", "t"], {"": docs.count()}, doc_bound).select("t")
     some = some.withColumn("b", base_spans(F.col("t"))).withColumn("open", blanked(F.col("t"), F.col("b")))
     ordinary = some.select(F.explode(F.regexp_extract_all("open", F.lit(RUN % 5), F.lit(0))).alias("sample"), F.lit(False).alias("is_random"))
     return random.unionByName(ordinary)
