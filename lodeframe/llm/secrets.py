@@ -26,9 +26,17 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Symbols of the models; a candidate is a run of them, or what the base spans leave of one.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Symbols between the segments of a path, a dotted name or a version.
+SEPARATORS = "/._=-"
 RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}"
 #: Random strings and documents to learn from (at most so many), least length and log-likelihood ratio of a secret.
 SAMPLE_STRINGS, SAMPLE_DOCS, MIN_CHARS, MIN_RATIO = 6_000, 5_000, 20, 12.0
+#: Share of the symbols of a secret that lie in segments with a positive ratio.
+MIN_SHARE = 0.75
+#: Least ratio for each pair that counts, unless a string is of capitals and digits.
+MIN_RATE = 1.25
+#: What is added to that for strings without a digit, which most compounds of words are.
+WORDY = 0.25
 
 
 def _let(value: Column, body) -> Column:
@@ -134,7 +142,11 @@ def labelled_samples(docs: DataFrame, strings: int = SAMPLE_STRINGS, doc_bound:
 
 
 def fit_markov(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio, random over ordinary, of each pair of neighbouring symbols (row-major), add-one smoothed."""
+    """Log-likelihood ratio, random over ordinary, of each pair of neighbouring symbols (row-major), add-one smoothed.
+
+    Pairs with one of ``SEPARATORS`` tell nothing, and are zero: whether paths, dotted names or versions occur in the samples must
+    not decide about them.
+    """
     at = F.sequence(F.lit(1), F.length("sample") - 1)
     pairs = samples.where(F.length("sample") > 1).select("is_random", F.explode(F.transform(at, lambda i: F.substring(F.col("sample"), i, F.lit(2)))).alias("pair"))
     rows = pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_.=-]{2}$")).groupBy("is_random", "pair").count().collect()
@@ -147,7 +159,8 @@ def fit_markov(samples: DataFrame) -> list[float]:
             if r["is_random"] == label:
                 counts[code[r["pair"][0]]][code[r["pair"][1]]] += r["count"]
         logs[label] = [math.log(c / sum(row)) for row in counts for c in row]
-    return [a - b for a, b in zip(logs[True], logs[False])]
+    told = [not {a, b} & set(SEPARATORS) for a in SYMBOLS for b in SYMBOLS]
+    return [a - b if t else 0.0 for a, b, t in zip(logs[True], logs[False], told)]
 
 
 def log_ratio(string: Column, model: list[float]) -> Column:
@@ -164,16 +177,44 @@ def log_ratio(string: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(string, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
 
 
+def looks_random(string: Column, model: list[float], min_ratio: float = MIN_RATIO, min_share: float = MIN_SHARE, min_rate: float = MIN_RATE) -> Column:
+    """Whether a string of ``SYMBOLS`` passes the ratio, and segments with letters that do by themselves hold enough of its symbols.
+
+    Long compounds of rare words pass the ratio by their length, so it must also be ``min_rate`` a pair of letters and digits. Capitals
+    with digits are spared that: they are no compounds of words, and tell less a pair.
+    """
+    segments = F.filter(F.split(string, "[/._=-]+"), lambda x: x != "")
+    random = F.filter(segments, lambda x: x.rlike("[A-Za-z]") & (log_ratio(x, model) > 0))
+    symbols = lambda parts: F.length(F.array_join(parts, ""))
+    pairs = symbols(segments) - F.size(segments)
+    capitals = ~string.rlike("[a-z]") & string.rlike("[0-9]")
+    ratio = log_ratio(string, model)
+    return (ratio >= min_ratio) & (capitals | (ratio >= F.when(string.rlike("[0-9]"), min_rate).otherwise(min_rate + WORDY) * pairs)) & (symbols(random) >= F.lit(min_share) * symbols(segments))
+
+
 def find_secrets(docs: DataFrame, model: list[float], min_chars: int = MIN_CHARS, min_ratio: float = MIN_RATIO, text_col: str = "text") -> DataFrame:
     """``docs`` with base_spans and spans, arrays of (start, kind, end) by start and kind; kind indexes ``KINDS``.
 
     Base spans are all kept. Runs are cut at the borders of base spans; each stretch outside of them that has
-    ``min_chars`` symbols or more is scored by itself.
+    ``min_chars`` symbols or more is scored by itself. Where a stretch isn't random as a whole, those of its segments
+    between slashes are scored that are as long, so that a key inside a path is found and the path around it stays.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Columns of their own, each used more than once, so that none is computed again inside another.
     found = docs.withColumn("base_spans", base_spans(text)).withColumn("__open", blanked(text, F.col("base_spans")))
-    good = F.filter(_spans(F.col("__open"), RUN % min_chars, 3), lambda s: log_ratio(s["hit"], model) >= min_ratio)
+    long = lambda x: F.length(x) >= min_chars
+    random = lambda x: long(x) & looks_random(x, model, min_ratio)
+
+    def inside(s: Column) -> Column:
+        """Random segments of a run that isn't random as a whole."""
+        parts = F.split(s["hit"], "/")
+        before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+        places = F.transform(parts, lambda x, i: F.struct(F.when(long(x), s["start"] + before(i)).alias("start"), F.lit(3).alias("kind"), x.alias("hit")))
+        return F.transform(F.filter(places, lambda p: random(p["hit"])), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), (p["start"] + F.length(p["hit"])).alias("end"), p["hit"].alias("hit")))
+
+    runs = _spans(F.col("__open"), RUN % min_chars, 3)
+    # Most runs hold no slash: they are judged once.
+    good = F.flatten(F.transform(runs, lambda s: F.when(random(s["hit"]), F.array(s)).when(s["hit"].contains("/"), inside(s)).otherwise(F.slice(F.array(s), F.lit(1), F.lit(0)))))
     return found.withColumn("spans", F.array_sort(F.concat("base_spans", _places(good)))).drop("__open")
 
 
