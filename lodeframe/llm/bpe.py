@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,10 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lodeframe.llm.automaton import MergeArcs, Subsets
+from lodeframe.llm.splitting import Classes, class_by
 
 #: Words kept per Python worker, their greatest length, and rows turned into one output batch.
 MAX_WORDS, LONG, ROWS = 150_000, 60, 256
@@ -36,6 +37,16 @@ LATIN_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-
 UNUSUAL = re.compile("[\x1c-\x1f\x85ª²³µ¹º¼-¾\u0100-\U0010ffff]")
 
 
+@lru_cache(maxsize=4)
+def _removing(pattern: str) -> pre_tokenizers.PreTokenizer:
+    return pre_tokenizers.Split(Regex(pattern), "removed")
+
+
+def by_tokenizers(pattern: str, c: str) -> bool:
+    """Whether the library's engine matches a character: nothing is left of it."""
+    return not _removing(pattern).pre_tokenize_str(c)
+
+
 class Words(dict):
     """word -> packed ids, filled in by the automaton."""
 
@@ -74,9 +85,12 @@ class WordBpe:
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         arcs = MergeArcs([(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], max(vocab.values()) + 1)
+        space = spec["normalizer"]["normalizers"][1]
+        # Characters of newer Unicode are what the library takes them for.
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(space["pattern"]["Regex"]), space["content"]), normalizers.Lowercase()])
+        self.classes = Classes(class_by(by_tokenizers))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.label = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte = byte_symbols()
         self.automaton = Subsets({i: self._symbols(t) for t, i in vocab.items()}, arcs)
         self.words = Words(self.word)
@@ -98,7 +112,9 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         """Normalise (NFC, lower case) and split into words; white space goes."""
         if UNUSUAL.search(text):
-            return SPLIT.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))
+            shown = self.normalizer.normalize_str(text)
+            shadow = self.classes.shadow(shown)
+            return SPLIT.findall(shown) if shadow is shown else [shown[m.start() : m.end()] for m in SPLIT.finditer(shadow)]
         return LATIN_SPLIT.findall(text.lower())
 
     def encode(self, text: str) -> bytes:
@@ -111,16 +127,21 @@ class WordBpe:
                 out.append(b"".join(map(words.__getitem__, self.split(part))))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """Arc labels, joined as a file without a decoder joins them."""
-        return " ".join(map(self.label.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(maxsize=2)
+def labels(path: str) -> np.ndarray:
+    """Arc labels by id, those of special tokens included; ids that the file leaves out are empty."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    label = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return np.array([label.get(i, "") for i in range(max(label) + 1)], object)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text. ``vocabulary`` is the file's path on every executor."""
 
@@ -139,16 +160,16 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded string) for rows of ids; null ids decode to the empty text."""
+    """(id, ids, decoded string) for rows of ids: arc labels, joined as a file without a decoder joins them; null ids decode to
+    the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = load(vocabulary).label
-        labels = np.array([label.get(i, "") for i in range(max(label) + 1)], object)
+        table = labels(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 part = whole.slice(at, ROWS)
                 ids = part.column(1)
-                flat = labels[ids.flatten().to_numpy(zero_copy_only=False)].tolist()
+                flat = table[ids.flatten().to_numpy(zero_copy_only=False)].tolist()
                 ends = np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())])
                 texts = [" ".join(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], names=[id_col, ids_col, "decoded"])

@@ -59,6 +59,19 @@ def test_split_follows_the_library_on_characters_of_newer_unicode():
             assert (f" {c}1{c}" in words) == (kind == "N"), hex(ord(c))
 
 
+def test_word_bpe_follows_the_library_on_characters_of_newer_unicode():
+    from tokenizers import Tokenizer
+
+    from lodeframe.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    for low in (0x500, 0x1C80, 0x2080, 0xA7C0, 0x10900, 0x11DE0, 0x31350, 0x3FC00):
+        for c in map(chr, range(low, low + 0x80)):
+            text = f"a{c}b {c}{c} 1{c}"
+            assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_appends_and_edits_are_exact(tiktoken_library):
     encoder, draw = prefix_bpe.load(RANKS, PATTERN), np.random.default_rng(4)
     alphabet = ["a", "b", " ", "\n", "'", "s", "l", "1", "é", "日", "the", "==", " ing", "\U0001f600", "aaaa", "  ", "\t", "ⅷ"]
