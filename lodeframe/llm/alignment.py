@@ -9,9 +9,9 @@ number of their links, never one by one. Pairs are counted over the corpus by an
 counts come back by ``join_per_key``: pairs with a fixed share of all rows, a bounded number, are broadcast and the others
 shuffled. Best counts per A id are at most one row an entry of A's vocabulary.
 
-A is a byte-level BPE file read by ``prefix_bpe``. B is a sentencepiece BPE model with byte fallback, read by its library in
-stretches between places that no piece crosses (``token_counts`` says which); each Python worker keeps a bounded table of
-short stretches.
+A is a byte-level BPE file, of which ``tiktoken`` reads the words that ``splitting`` finds, very long ones apart, by
+``prefix_bpe``. B is a sentencepiece BPE model with byte fallback, read by its library in stretches between places that no piece
+crosses (``token_counts`` says which). Each Python worker keeps bounded tables of short words and stretches.
 
 Null and empty texts, and texts that a tokenization doesn't spell out (those with U+2581), have no tokens. Rows are
 told apart by a number of their own, so repeated rows and null ids count one by one. An empty table gives no rows; further
@@ -22,21 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.llm.bpe import byte_symbols
-from lodeframe.llm.prefix_bpe import ByteEncoder
+from lodeframe.llm.prefix_bpe import Prefixes, Words
+from lodeframe.llm.splitting import Splitter
 from lodeframe.llm.token_counts import LETTER, LONG, MARK, UNIT
 from lodeframe.plans.scratch import materialize
 from lodeframe.plans.skew import join_per_key
 
-#: Stretches kept per Python worker, texts and characters of a block, and pairs formed at once.
-MAX_UNITS, ROWS, CHARS, PAIRS = 150_000, 256, 1 << 20, 1 << 22
+#: Stretches kept per Python worker, texts and characters of a block, pairs formed at once, and characters of a very long word.
+MAX_UNITS, ROWS, CHARS, PAIRS, HUGE = 150_000, 256, 1 << 20, 1 << 22, 2_000
 #: An id pair is one number: A's id times this, and B's id.
 SHIFT = 1 << 32
 #: A pair is broadcast with its count if it has one part in so many of all rows: at most 4 MB of numbers.
@@ -52,14 +55,25 @@ class BytePieces:
         byte = {c: b for b, c in enumerate(byte_symbols())}
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoder = ByteEncoder(ranks, pattern)
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.split, self.ranks, self.words = Splitter(pattern), ranks, Words(self.word)
         self.bytes = np.full(max(ranks.values()) + 1, b"", object)
         for t, i in ranks.items():
             self.bytes[i] = t
 
+    @cached_property
+    def prefixes(self) -> Prefixes:
+        return Prefixes(self.ranks)
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of one word. The library's pattern engine gives up on very long runs, and its time grows faster than they do."""
+        ids = self.library.encode_ordinary(word) if len(word) <= HUGE else self.prefixes.tokens(word.encode())
+        return array("i", ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids."""
-        return [self.encoder.encode(t) for t in texts]
+        look = self.words.__getitem__
+        return [b"".join(map(look, self.split(t))) for t in texts]
 
 
 class MarkedPieces:
@@ -94,16 +108,17 @@ class MarkedPieces:
             asked.append(front + (u if front else u[1:]).replace(MARK, " "))
             less.append(n)
         found = self.library.encode(asked, num_threads=1)
-        return {u: np.array(ids[n:], np.int32).tobytes() for u, ids, n in zip(units, found, less)}
+        return {u: array("i", ids[n:] if n else ids).tobytes() for u, ids, n in zip(units, found, less)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of texts without a mark."""
         rows = [UNIT.findall(MARK + t.replace(" ", MARK)) for t in texts]
-        fresh = {u for row in rows for u in row if u not in self.units}
+        seen = set().union(*rows)
+        fresh = seen - self.units.keys()
         if len(self.units) + len(fresh) > MAX_UNITS:
             self.units.clear()
-            fresh = {u for row in rows for u in row}
-        learned = self._learn(sorted(fresh))
+            fresh = seen
+        learned = self._learn(list(fresh))
         self.units.update((u, ids) for u, ids in learned.items() if len(u) <= LONG)
         look = {**self.units, **learned} if any(len(u) > LONG for u in fresh) else self.units
         return [b"".join(map(look.__getitem__, row)) for row in rows]

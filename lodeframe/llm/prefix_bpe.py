@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -136,13 +136,13 @@ class Prefixes:
 
 
 class Words(dict):
-    """word -> packed ids, filled in by the dynamic program."""
+    """word -> packed ids, filled in by ``make``; a bounded number of short words stays."""
 
-    def __init__(self, prefixes: Prefixes):
-        self.prefixes = prefixes
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
 
     def __missing__(self, word: str) -> bytes:
-        out = array("i", self.prefixes.tokens(word.encode())).tobytes()
+        out = self.make(word)
         if len(word) <= LONG:
             if len(self) >= MAX_WORDS:
                 self.clear()
@@ -155,7 +155,7 @@ class ByteEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, split: Splitter | None = None):
         self.prefixes, self.split = Prefixes(ranks), split or Splitter(pattern)
-        self.words = Words(self.prefixes)
+        self.words = Words(lambda word: array("i", self.prefixes.tokens(word.encode())).tobytes())
 
     def encode(self, text: str) -> bytes:
         """Packed 32-bit ids."""
