@@ -628,3 +628,24 @@ def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
     code, handlers = flow_tables(spark, sf)
     edges = flow.flow_edges(flow.basic_blocks(code, handlers, by=["m"]), handlers, by=["m"])
     return edges.groupBy("m", "src", "dst", "label", "style").agg(F.count("*").alias("n"))
+
+
+#: Parts are nested regions: a quarter of their sizes is long enough to hold others.
+@query(
+    "region_paths",
+    """WITH r AS (SELECT p_partkey AS region, p_partkey * 3 AS start, CASE WHEN p_size % 4 = 0 THEN p_size * 8 ELSE p_size END AS length FROM part),
+       m AS (SELECT o_orderkey AS point, region, length FROM orders, r WHERE o_orderkey >= start AND o_orderkey < start + length)
+       SELECT point, CAST(count(*) AS INTEGER) AS n_regions, string_agg(CAST(region AS VARCHAR), ' > ' ORDER BY length DESC, region DESC) AS path,
+              CAST(arg_min(region, CAST(length AS BIGINT) * 100000000 + region) AS VARCHAR) AS innermost FROM m GROUP BY point""",
+)
+def region_paths(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.when(F.col("p_size") % 4 == 0, F.col("p_size") * 8).otherwise(F.col("p_size")).cast("long")
+    regions = table(spark, sf, "part").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") * 3).alias("start"), size.alias("length"))
+    return relations.region_paths(table(spark, sf, "orders").select(F.col("o_orderkey").alias("point")), regions, 64)
+
+
+@query("nearest_after", """SELECT a.event_id, (SELECT arg_min(b.event_type, b.event_id) FROM events b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND b.value > 50) AS mark FROM events a""")
+def nearest_after(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    marks = events.where("value > 50").select("user_id", "event_id", F.col("event_type").alias("mark"))
+    return relations.nearest_after(events.select("user_id", "event_id"), marks, "user_id", "event_id", "mark").select("event_id", "mark")

@@ -107,6 +107,38 @@ def enclosing_regions(points: DataFrame, regions: DataFrame, width: int) -> Data
     return at.join(cells, ["__size", "__cell"]).where("point >= start AND point < start + length").drop("__size", "__cell")
 
 
+def region_chain(points: DataFrame, regions: DataFrame, width: int, ordinal: str | None = None) -> DataFrame:
+    """(point, depth from 0, region, start, length) of the regions around each distinct point, from the largest to the smallest.
+
+    Of regions of one length that with the largest ``ordinal`` (by default the name) is the outer one. A partition is the
+    regions around one point.
+    """
+    tie = [F.desc(ordinal)] if ordinal else [F.desc("region")]
+    found = enclosing_regions(points.select("point").where("point IS NOT NULL").distinct(), regions, width)
+    order = Window.partitionBy("point").orderBy(F.desc("length"), *tie)
+    return found.select("point", (F.row_number().over(order) - 1).alias("depth"), "region", "start", "length")
+
+
+def region_paths(points: DataFrame, regions: DataFrame, width: int, ordinal: str | None = None, separator: str = " > ") -> DataFrame:
+    """(point, n_regions, path, innermost) of each distinct point in a region: the names of all regions around it, outermost first.
+
+    A path is as long as its nest of regions is deep.
+    """
+    rows = region_chain(points, regions, width, ordinal).groupBy("point").agg(F.sort_array(F.collect_list(F.struct("depth", F.col("region").cast("string").alias("name")))).alias("all"))
+    names = F.transform("all", lambda x: x["name"])
+    return rows.select("point", F.size("all").alias("n_regions"), F.array_join(names, separator).alias("path"), F.element_at(names, -1).alias("innermost"))
+
+
+def nearest_after(queries: DataFrame, marks: DataFrame, key: str, at: str, value: str, strict: bool = True, chunk: int = 1_000_000) -> DataFrame:
+    """Each query row with the value of the first mark of its key after it (null if there is none); not ``strict``: at or after it.
+
+    ``at`` is an integer. This is ``nearest_before`` on the line turned around; of marks at one place the largest counts.
+    """
+    turned = lambda df: df.withColumn("__turned", -F.col(at).cast("long"))
+    own = turned(queries).withColumn("__turned", F.col("__turned") - (1 if strict else 0))
+    return nearest_before(own, turned(marks).select(key, "__turned", value), key, "__turned", value, chunk).drop("__turned")
+
+
 def nearest_before(queries: DataFrame, marks: DataFrame, key: str, at: str, value: str, chunk: int = 1_000_000) -> DataFrame:
     """Each query row with the value of the last mark of its key at or before it (null if there is none).
 

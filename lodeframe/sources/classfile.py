@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.functions.predicates import INTERFACE
+from lodeframe.functions.signatures import parts_of, with_nodes
 from lodeframe.plans.scratch import materialize
 
 OBJECT = "java/lang/Object"
@@ -26,10 +27,12 @@ NUMBERS = {3: ">i", 4: ">f", 5: ">q", 6: ">d"}
 
 ANNOTATION = pa.struct([("annotation", pa.string()), ("params", pa.string())])
 PARAMETER_ANNOTATION = pa.struct([("parameter", pa.int32()), ("annotation", pa.string()), ("params", pa.string())])
+PARAMETER = pa.struct([("name", pa.string()), ("modifiers", pa.int32())])
 FIELD = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("descriptor", pa.string()), ("signature", pa.string()), ("modifiers", pa.int32()),
                    ("constant_value", pa.string()), ("annotations", pa.list_(ANNOTATION))])
 METHOD = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("descriptor", pa.string()), ("signature", pa.string()), ("modifiers", pa.int32()),
-                    ("throws", pa.list_(pa.string())), ("has_body", pa.bool_()), ("annotations", pa.list_(ANNOTATION)), ("parameter_annotations", pa.list_(PARAMETER_ANNOTATION))])
+                    ("throws", pa.list_(pa.string())), ("has_body", pa.bool_()), ("annotations", pa.list_(ANNOTATION)), ("parameter_annotations", pa.list_(PARAMETER_ANNOTATION)), ("annotated_parameters", pa.int32()),
+                    ("parameters", pa.list_(PARAMETER))])
 CONTAINMENT = pa.struct([("inner", pa.string()), ("outer", pa.string())])
 PARSED = pa.schema([
     ("full_path", pa.string()), ("error", pa.string()), ("name", pa.string()), ("modifiers", pa.int32()), ("superclass", pa.string()),
@@ -43,7 +46,7 @@ PARSED_DDL = (
     f"source_file string, signature string, annotations {_NOTE}, "
     f"fields array<struct<pos:int,name:string,descriptor:string,signature:string,modifiers:int,constant_value:string,annotations:{_NOTE}>>, "
     f"methods array<struct<pos:int,name:string,descriptor:string,signature:string,modifiers:int,throws:array<string>,has_body:boolean,annotations:{_NOTE},"
-    "parameter_annotations:array<struct<parameter:int,annotation:string,params:string>>>>, "
+    "parameter_annotations:array<struct<parameter:int,annotation:string,params:string>>,annotated_parameters:int,parameters:array<struct<name:string,modifiers:int>>>>, "
     "refs array<string>, containment array<struct<inner:string,outer:string>>, enclosing_method string"
 )
 
@@ -165,6 +168,15 @@ def read_class(data: bytes) -> tuple[dict, Pool, list[tuple[int, bytes]], dict]:
                 found += [{"parameter": p, **note(r)} for p in range(r.uint(1)) for _ in range(r.uint())]
         return found
 
+    def annotated(attrs: dict) -> int:
+        """For how many parameters there are lists of annotations, empty ones included."""
+        return max((attrs[n][0] for n in ("RuntimeVisibleParameterAnnotations", "RuntimeInvisibleParameterAnnotations") if attrs.get(n)), default=0)
+
+    def parameters(attrs: dict) -> list:
+        """Names (null if there is none) and modifiers, where the compiler has kept them."""
+        r = _Bytes(attrs.get("MethodParameters", b"\0"))
+        return [{"name": const(i) if (i := r.uint()) else None, "modifiers": r.uint()} for _ in range(r.uint(1))]
+
     def containment(attrs: dict) -> tuple[list, str | None]:
         """(inner, outer) of all classes that the file tells of, and the method around this class, if it is local or anonymous."""
         found, method = [], None
@@ -198,7 +210,7 @@ def read_class(data: bytes) -> tuple[dict, Pool, list[tuple[int, bytes]], dict]:
             attrs = attributes()
             constant = utf(attrs, "ConstantValue")
             throws = _Bytes(attrs["Exceptions"]) if "Exceptions" in attrs else None
-            m |= {"signature": utf(attrs, "Signature"), "annotations": notes(attrs), "parameter_annotations": parameter_notes(attrs), "constant_value": None if constant is None else str(constant)}
+            m |= {"signature": utf(attrs, "Signature"), "annotations": notes(attrs), "parameter_annotations": parameter_notes(attrs), "annotated_parameters": annotated(attrs), "parameters": parameters(attrs), "constant_value": None if constant is None else str(constant)}
             if "Code" in attrs:
                 codes.append((pos, attrs["Code"]))
             m |= {"has_body": "Code" in attrs, "throws": [const(throws.uint()) for _ in range(throws.uint())] if throws else []}
@@ -258,7 +270,7 @@ def classes(parsed: DataFrame) -> DataFrame:
 
 
 def _members(parsed: DataFrame, column: str) -> DataFrame:
-    return parsed.where("error is null").select(F.col("name").alias("owner"), F.explode(column).alias("m")).select("owner", "m.*").drop("annotations", "parameter_annotations")
+    return parsed.where("error is null").select(F.col("name").alias("owner"), F.explode(column).alias("m")).select("owner", "m.*").drop("annotations", "parameter_annotations", "annotated_parameters", "parameters")
 
 
 def fields(parsed: DataFrame) -> DataFrame:
@@ -269,6 +281,26 @@ def methods(parsed: DataFrame) -> DataFrame:
     return _members(parsed, "methods")
 
 
+def method_parameters(parsed: DataFrame) -> DataFrame:
+    """(owner, name, method_desc, position, descriptor, signature, parameter, modifiers, annotations) of every parameter of every method.
+
+    Lists of types, generic types, names, modifiers and annotations of one method may differ in length, as compilers put parameters
+    of their own in front. All are aligned at the last parameter; what a shorter list lacks is null.
+    """
+    whole = with_nodes(parsed.where("error is null").select(F.col("name").alias("owner"), F.explode("methods").alias("m")).select("owner", "m.*"), "signature", "method")
+    types = F.regexp_extract_all(F.regexp_extract("descriptor", r"^\((.*)\)", 1), F.lit(r"\[*(?:[BCDFIJSZ]|L[^;]*;)"), F.lit(0))
+    generic = F.coalesce(parts_of(F.col("signature"), F.col("nodes"), "parameter"), F.array().cast("array<string>"))
+    marks = F.transform(F.sequence(F.lit(1), F.col("annotated_parameters")), lambda i: F.transform(F.filter("parameter_annotations", lambda a: a["parameter"] == i - 1), lambda a: a["annotation"]))
+    marks = F.when(F.col("annotated_parameters") > 0, marks).otherwise(F.array().cast("array<array<string>>"))
+    lists = whole.select("owner", "name", F.col("descriptor").alias("method_desc"), types.alias("descriptor"), generic.alias("signature"), F.transform("parameters", lambda p: p["name"]).alias("parameter"),
+                         F.transform("parameters", lambda p: p["modifiers"]).alias("modifiers"), marks.alias("annotations"))
+    columns = ("descriptor", "signature", "parameter", "modifiers", "annotations")
+    n = F.greatest(*(F.size(c) for c in columns))
+    lacking = lambda c: F.array_repeat(F.lit(None).cast(lists.schema[c].dataType.elementType), n - F.size(c))
+    aligned = lists.select("owner", "name", "method_desc", *(F.concat(lacking(c), F.col(c)).alias(c) for c in columns))
+    return aligned.select("owner", "name", "method_desc", F.posexplode(F.arrays_zip(*columns)).alias("position", "p")).select("owner", "name", "method_desc", "position", "p.*")
+
+
 def annotations(parsed: DataFrame) -> DataFrame:
     """(target_kind, owner, member, annotation, params): params is a JSON object; of a parameter, member ends in ``#`` and its position."""
     ok = parsed.where("error is null")
