@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodeframe.functions import bytes as byte_columns, predicates, texts
 from lodeframe.operators import classes, datasets, flow, overrides, relations, renames, search, trees, usages as uses
-from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, leaves
+from lodeframe.operators.graph import assignable_to, children, closure, common_ancestors, declared_ancestor, leaves
 from lodeframe.operators.lines import lines
 from lodeframe.sources.archives import elements_with, elements_without, manifest_changes
 from lodeframe.sources.sinks import export_plan
@@ -649,3 +649,18 @@ def nearest_after(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     marks = events.where("value > 50").select("user_id", "event_id", F.col("event_type").alias("mark"))
     return relations.nearest_after(events.select("user_id", "event_id"), marks, "user_id", "event_id", "mark").select("event_id", "mark")
+
+
+#: Customers extend a segment, then a nation; suppliers a nation; nations a region.
+@query(
+    "declared_ancestor",
+    """WITH p AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+       x AS (SELECT c, s, c.n_nationkey AS cn, c.n_regionkey AS cr, d.n_nationkey AS sn, d.n_regionkey AS sr FROM p JOIN customer ON c_custkey = c JOIN nation c ON c.n_nationkey = c_nationkey
+             JOIN supplier ON s_suppkey = s JOIN nation d ON d.n_nationkey = s_nationkey)
+       SELECT 'c' || c AS a, 's' || s AS b, CASE WHEN cn = sn THEN 'n' || sn WHEN cr = sr THEN 'r' || sr END AS ancestor FROM x""",
+)
+def ancestors_declared(spark: SparkSession, sf: str) -> DataFrame:
+    up = lambda t, a, x, b, y, pos: table(spark, sf, t).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit(pos).alias("pos"))
+    edges = up("customer", "c", "c_custkey", "m", "c_mktsegment", 0).union(up("customer", "c", "c_custkey", "n", "c_nationkey", 1)).union(up("supplier", "s", "s_suppkey", "n", "s_nationkey", 0)).union(up("nation", "n", "n_nationkey", "r", "n_regionkey", 0))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return declared_ancestor(edges, rows.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")))

@@ -75,6 +75,22 @@ def common_ancestors(up: DataFrame, pairs: DataFrame) -> DataFrame:
     return best.select("a", "b", "m.ancestor", "m.distance")
 
 
+def declared_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, ancestor) of each distinct pair: itself where both are one, b where a reaches it, else the first ancestor of b, depth-first
+    in the order of declarations, that a reaches too; null where there is none.
+
+    ``edges`` are (src, dst, pos) from classes to their parents, without a cycle.
+    """
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    above = closure(edges, pairs.select(F.col("a").alias("src"))).select(F.col("src").alias("a"), F.col("dst").alias("ancestor"))
+    walk = ordered_closure(edges, pairs.select(F.col("b").alias("src")), breadth=False).select(F.col("src").alias("b"), F.col("dst").alias("ancestor"), "path")
+    itself = pairs.select("b").distinct().select("b", F.col("b").alias("ancestor"), F.array().cast("array<bigint>").alias("path"))
+    own = pairs.where("a = b").select("a", "b", F.col("a").alias("ancestor"), F.array().cast("array<bigint>").alias("path"))
+    met = pairs.where("a <> b").join(walk.unionByName(itself), "b").join(above, ["a", "ancestor"]).select("a", "b", "ancestor", "path")
+    found = met.unionByName(own).groupBy("a", "b").agg(F.min_by("ancestor", "path").alias("ancestor"))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", "ancestor")
+
+
 def leaves(edges: DataFrame) -> DataFrame:
     """(node): targets that are no source."""
     e = clean_edges(edges)

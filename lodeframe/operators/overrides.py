@@ -94,8 +94,13 @@ def class_report(roots: DataFrame, methods: DataFrame, edges: DataFrame, most_cl
         rows = df.select(F.col(owner).alias("root"), item.alias("item")).join(root, "root", "left_semi").distinct()
         return rows.select("root", F.lit(kind).alias("kind"), F.lit(GROUPS.index(kind)).alias("at"), "item")
 
-    ups, below = closure(edges.where("rel = 'extends'")), closure(edges.where("rel IN ('extends', 'implements')"))
-    interfaces = edges.where("rel = 'implements'").select("dst").distinct()
+    # Only what lies below the classes asked for.
+    def down(*rels: str) -> DataFrame:
+        turned = edges.where(F.col("rel").isin(*rels)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return closure(turned, root.select(F.col("root").alias("src")))
+
+    subclasses, below = down("extends"), down("extends", "implements")
+    interfaces = edges.where("rel = 'implements'").select(F.col("dst").alias("src")).distinct()
     method = lambda owner: F.concat(F.col(owner), F.lit("."), "name", "descriptor")
     out = group("SUPER_CLASS", edges.where("rel = 'extends'"), "src", F.col("dst"))
     for part in (
@@ -104,8 +109,8 @@ def class_report(roots: DataFrame, methods: DataFrame, edges: DataFrame, most_cl
         group("OVERRIDES", overrides(methods, edges), "owner", method("base")),
         group("OVERRIDDEN_BY", overridden_by(methods, edges), "owner", method("sub")),
         group("INHERITED", inherited(methods, edges), "owner", method("base")),
-        group("IMPLEMENTATION", below.join(interfaces, "dst", "left_semi"), "dst", F.col("src")),
-        group("SUBCLASS", ups.join(interfaces, "dst", "left_anti"), "dst", F.col("src")),
+        group("IMPLEMENTATION", below.join(interfaces, "src", "left_semi"), "src", F.col("dst")),
+        group("SUBCLASS", subclasses.join(interfaces, "src", "left_anti"), "src", F.col("dst")),
         group("ANNOTATED", edges.where("rel = 'annotated'"), "dst", F.col("src")),
     ):
         out = out.unionByName(part)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import predicates as P
 from lodeframe.operators import classes as C, search
+from lodeframe.operators.graph import declared_ancestor
 
 CLASSES = [("a/Service", 0x201, None, False), ("a/Mark", 0x2601, None, False), ("a/Color", 0x4001, None, False), ("a/Impl", 1, "java/lang/Object", False),
            ("a/Child", 1, "a/Impl", False), ("a/Point", 1, None, True), ("a/Sub", 0x201, None, False)]
@@ -131,6 +132,31 @@ def test_override_orders_of_random_hierarchies(spark):
     assert rows(faces, "name", "prio", "interface") == [("1K", 0, "1Y"), ("1K", 1, "1I"), ("1K", 2, "1X"), ("2K", 0, "2Z")]
 
 
+def test_declared_ancestor_of_random_hierarchies(spark):
+    draw, edges = random.Random(3), []
+    for i in range(1, 30):
+        for pos, j in enumerate(draw.sample(range(i), min(i, draw.randrange(0, 4)))):
+            edges.append((f"k{i}", f"k{j}", pos))
+    parents = {}
+    for s, d, _ in sorted(edges, key=lambda e: e[2]):
+        parents.setdefault(s, []).append(d)
+
+    def above(c):
+        return {d for p in parents.get(c, []) for d in (p, *above(p))}
+
+    def walk(c, hits):
+        for p in parents.get(c, []):
+            if p in hits:
+                return p
+            if (found := walk(p, hits)) is not None:
+                return found
+
+    pairs = [(f"k{draw.randrange(30)}", f"k{draw.randrange(30)}") for _ in range(150)] + [("k3", "k3")]
+    want = {(a, b): a if a == b else b if b in above(a) else walk(b, above(a)) for a, b in pairs}
+    got = declared_ancestor(spark.createDataFrame(edges, "src string, dst string, pos int"), spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert {(r["a"], r["b"]): r["ancestor"] for r in got} == want and len(got) == len(want)
+
+
 def test_unwrapping_knows_every_container(spark):
     marks = spark.range(10_001).select(F.lit("class").alias("target_kind"), F.concat(F.lit("k"), "id").alias("owner"), F.concat(F.lit("Tags"), "id").alias("annotation"),
                                        F.lit('{"value": [{"annotation": "Tag", "params": "1"}]}').alias("params"))
