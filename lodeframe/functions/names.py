@@ -6,12 +6,18 @@ from pyspark.sql import Column, functions as F
 
 #: Words of the language that name nothing.
 RESERVED = (
-    "_ abstract assert boolean break byte case catch char class const continue default do double else enum extends false final finally float for goto if "
-    "implements import instanceof int interface long native new null package private protected public return short static strictfp super switch "
-    "synchronized this throw throws transient true try void volatile while"
-).split()
+    "_", "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue",
+    "default", "do", "double", "else", "enum", "extends", "false", "final", "finally", "float", "for", "goto", "if",
+    "implements", "import", "instanceof", "int", "interface", "long", "native", "new", "null", "package", "private",
+    "protected", "public", "return", "short", "static", "strictfp", "super", "switch", "synchronized", "this",
+    "throw", "throws", "transient", "true", "try", "void", "volatile", "while",
+)
 #: Short names that are in common use.
-SHORT_WORDS = "id db ui io ok no tag key val url uri sql xml api dto dao vo bo po to ctx cfg src dst min max len idx tmp buf msg req res err log map set num".split()
+SHORT_WORDS = (
+    "id", "db", "ui", "io", "ok", "no", "tag", "key", "val", "url", "uri", "sql", "xml", "api", "dto", "dao", "vo",
+    "bo", "po", "to", "ctx", "cfg", "src", "dst", "min", "max", "len", "idx", "tmp", "buf", "msg", "req", "res",
+    "err", "log", "map", "set", "num",
+)
 
 
 def normalize_path(path: Column) -> Column:
@@ -39,13 +45,13 @@ def java_version(major: Column) -> Column:
 
 def is_obfuscated(name: Column) -> Column:
     """One to three letters, digits, ``_`` or ``$`` (no surrogates), and no short word in common use; null and empty are not."""
-    short = name.rlike(r"^[\p{L}\p{Nd}_$&&[\x00-￿]]{1,3}\z") & ~F.lower(name).isin(SHORT_WORDS)
+    short = name.rlike(r"^[\p{L}\p{Nd}_$&&[\x00-￿]]{1,3}\z") & ~F.lower(name).isin(*SHORT_WORDS)
     return F.coalesce(short, F.lit(False))
 
 
 def is_valid_name(name: Column) -> Column:
     """An identifier of Java, letters of any script included, that is no reserved word; null and empty are not."""
-    good = name.rlike(r"^\p{javaJavaIdentifierStart}\p{javaJavaIdentifierPart}*\z") & ~name.isin(RESERVED)
+    good = name.rlike(r"^\p{javaJavaIdentifierStart}\p{javaJavaIdentifierPart}*\z") & ~name.isin(*RESERVED)
     return F.coalesce(good, F.lit(False))
 
 

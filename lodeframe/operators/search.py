@@ -15,6 +15,8 @@ from lodeframe.plans.scratch import materialize
 PROVIDER_CAP = 500
 #: Ranges that one task sorts in a running total.
 CELLS = 4096
+#: Byte hits of one output batch.
+HITS = 65_536
 TYPES = ("CLASS", "METHOD", "FIELD", "CODE_TEXT", "COMMENT", "RESOURCE", "BYTECODE")
 HIT = "full_path string, line_number int, match_line string, match_type string, type_ordinal int"
 
@@ -38,6 +40,12 @@ def comment_hits(df: DataFrame, path: str, text: str, query: str, **options) ->
     return found.select("full_path", F.col("line_no").cast("int").alias("line_number"), F.col("line").alias("match_line"), F.lit("COMMENT").alias("match_type"), F.lit(TYPES.index("COMMENT")).alias("type_ordinal"))
 
 
+def bytecode_hits(code: DataFrame, query: str, **options) -> DataFrame:
+    """Hits of a line search over lines of code (path, line_no, text), as ``sources.bytecode.bytecode_lines`` gives them."""
+    found = code.where(line_match(F.col("text"), query, **options))
+    return found.select(F.col("path").alias("full_path"), F.col("line_no").cast("int").alias("line_number"), java_trim(F.col("text")).alias("match_line"), F.lit("BYTECODE").alias("match_type"), F.lit(TYPES.index("BYTECODE")).alias("type_ordinal"))
+
+
 def member_hits(members: DataFrame, path: str, query: str, match_type: str, **options) -> DataFrame:
     """Hits on names of methods or fields (owner, name, descriptor, pos); the hit is name and descriptor, its line the position."""
     found = members.where(line_match(F.col("name"), query, **options))
@@ -66,13 +74,24 @@ def hex_bytes(query: str) -> bytes:
 def byte_hits(df: DataFrame, path: str, content: str, needle: bytes) -> DataFrame:
     """(full_path, offset): every place, overlapping ones too, where the bytes of a binary column hold ``needle``."""
 
+    def places(data: bytes) -> Iterator[int]:
+        at = data.find(needle)
+        while at >= 0:
+            yield at
+            at = data.find(needle, at + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows if needle else 0):
-                data, at, found = batch.column(1)[i].as_py() or b"", -1, []
-                while (at := data.find(needle, at + 1)) >= 0:
+        for batch in batches if needle else ():
+            rows, found = [], []
+            for i, data in enumerate(batch.column(1)):
+                for at in places(data.as_py() or b""):
+                    rows.append(i)
                     found.append(at)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(found)), pa.array(found, pa.int64())], names=["full_path", "offset"])
+                    if len(found) >= HITS:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found, pa.int64())], names=["full_path", "offset"])
+                        rows, found = [], []
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found, pa.int64())], names=["full_path", "offset"])
 
     return df.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "full_path string, offset long")
 

@@ -6,7 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.operators import classes as C, flow, usages
+from lodeframe.operators import classes as C, flow, search, usages
 from lodeframe.sources import bytecode, classfile
 
 SOURCES = {
@@ -243,3 +243,6 @@ def test_bytecode_lines_are_searched_like_others(decoded):
     assert all(a == b for a, b in n.values())
     found = lines.where(F.col("path").endswith("Caller.class") & F.col("text").contains("putstatic"))
     assert found.first()["text"].endswith("putstatic com/example/Target.value : I")
+    hits = search.bytecode_hits(lines, "PUTSTATIC com/example/Target").collect()
+    assert [(r["full_path"], r["match_line"].split(" ", 1)[1], r["match_type"]) for r in hits] == [("com/example/Caller.class", "putstatic com/example/Target.value : I", "BYTECODE")]
+    assert search.bytecode_hits(lines, "putstatic com/example/Target", case_sensitive=True).count() == 1 and search.bytecode_hits(lines, " ").count() == 0
