@@ -38,8 +38,9 @@ from lodeframe.llm.token_counts import LETTER, LONG, MARK, UNIT
 from lodeframe.plans.scratch import materialize
 from lodeframe.plans.skew import join_per_key
 
-#: Stretches kept per Python worker, texts and characters of a block, pairs formed at once, and characters of a very long word.
-MAX_UNITS, ROWS, CHARS, PAIRS, HUGE = 150_000, 256, 1 << 20, 1 << 22, 2_000
+#: Words and stretches kept per Python worker, texts and characters of a block, pairs formed at once, and characters of a very
+#: long word.
+MAX_WORDS, MAX_UNITS, ROWS, CHARS, PAIRS, HUGE = 100_000, 100_000, 256, 1 << 19, 1 << 21, 2_000
 #: An id pair is one number: A's id times this, and B's id.
 SHIFT = 1 << 32
 #: A pair is broadcast with its count if it has one part in so many of all rows: at most 4 MB of numbers.
@@ -56,7 +57,7 @@ class BytePieces:
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.split, self.ranks, self.words = Splitter(pattern), ranks, Words(self.word)
+        self.split, self.ranks, self.words = Splitter(pattern), ranks, Words(self.word, MAX_WORDS)
         self.bytes = np.full(max(ranks.values()) + 1, b"", object)
         for t, i in ranks.items():
             self.bytes[i] = t
@@ -220,16 +221,19 @@ def load(path_a: str, pattern: str, path_b: str) -> Aligner:
     return Aligner(path_a, pattern, path_b)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of at most ``ROWS`` texts and ``CHARS`` characters, or one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and (i - start >= ROWS or size + len(t or "") > CHARS):
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if len(texts) > start:
-        yield start, len(texts)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches with at most ``ROWS`` texts and ``CHARS`` characters, or one text."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            part = whole.slice(at, ROWS)
+            texts = part.column(2).to_pylist()
+            start = size = 0
+            for i, t in enumerate(texts):
+                if i > start and size + len(t or "") > CHARS:
+                    yield part.slice(start, i - start), texts[start:i]
+                    start, size = i, 0
+                size += len(t or "")
+            yield part.slice(start), texts[start:]
 
 
 def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,22 +248,20 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, digest: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load(path_a, pattern, path_b)
-        for whole in batches:
-            texts = whole.column(2).to_pylist()
-            for low, high in _blocks(texts):
-                part, block = whole.slice(low, high - low), aligner.block(texts[low:high])
-                shown = block.texts_of_groups(aligner.table, len(aligner.a.bytes))
-                shown = [hashlib.sha256(s).hexdigest() if s and digest else s.decode() for s in shown]
-                counts = [pa.array(x) for x in (block.n_a, block.n_b, block.n_groups, block.n_links)]
-                first = [part.column(0), part.column(1), *counts, pa.array(shown, pa.string())]
-                for text, pair, links in block.pairs():
-                    ends = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pair, links)]
-                    yield pa.RecordBatch.from_arrays([*first, *lists], names=names)
-                    first = [*first[:2], *(pa.nulls(part.num_rows, x.type) for x in first[2:])]
-                if not len(block.a):
-                    none = pa.array([[]] * part.num_rows, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*first, none, none], names=names)
+        for part, texts in _blocks(batches):
+            block = aligner.block(texts)
+            shown = block.texts_of_groups(aligner.table, len(aligner.a.bytes))
+            shown = [hashlib.sha256(s).hexdigest() if s and digest else s.decode() for s in shown]
+            counts = [pa.array(x) for x in (block.n_a, block.n_b, block.n_groups, block.n_links)]
+            first = [part.column(0), part.column(1), *counts, pa.array(shown, pa.string())]
+            for text, pair, links in block.pairs():
+                ends = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pair, links)]
+                yield pa.RecordBatch.from_arrays([*first, *lists], names=names)
+                first = [*first[:2], *(pa.nulls(part.num_rows, x.type) for x in first[2:])]
+            if not len(block.a):
+                none = pa.array([[]] * part.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*first, none, none], names=names)
 
     schema = f"row long, `{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, F.col(text_col).cast("string"))

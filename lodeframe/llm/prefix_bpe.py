@@ -138,13 +138,13 @@ class Prefixes:
 class Words(dict):
     """word -> packed ids, filled in by ``make``; a bounded number of short words stays."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], most: int = MAX_WORDS):
+        self.make, self.most = make, most
 
     def __missing__(self, word: str) -> bytes:
         out = self.make(word)
         if len(word) <= LONG:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = out
         return out
