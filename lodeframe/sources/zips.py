@@ -1,8 +1,8 @@
 """Export to zip files through Spark's writer protocol: one zip a task, moved into place when the job commits.
 
 A task writes its zip and its failures below ``_temporary`` under a name of its own attempt; only attempts that the job commits are
-moved to ``part-00000.zip`` and so on, so a retried or speculative task leaves no double entries, and an aborted job
-leaves nothing. Entries of different parts have different names if targets do: take ``sinks.export_plan`` first.
+moved to ``part-00000.zip`` and so on, so a retried or speculative task leaves no double entries, and an aborted job no parts
+(tasks that still ran when it was aborted may leave their ``_temporary`` folder). Entries of different parts have different names if targets do: take ``sinks.export_plan`` first.
 The folder must be a local path or a URI that ``pyarrow`` opens, shared by the driver and all executors.
 """
 
