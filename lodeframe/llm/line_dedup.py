@@ -1,6 +1,6 @@
 """Line dedup: lines that many documents share stay in one document only.
 
-Normalised lines are exploded with their positions and hashed (128 bits), the distinct documents per hash are counted,
+Lines are exploded with their positions, normalised and hashed (128 bits), the distinct documents per hash are counted,
 and the hashes over the threshold are joined back to the positions that hold them; each text is reassembled from the
 lines at its other positions. Line rows carry hashes only, never text. Counting distinct documents merges
 per task before it shuffles, and the join back is salted against hot lines by broadcasting the few of them. Work
@@ -22,15 +22,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\v\f\r"
 
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+def lower_az(text: Column) -> Column:
+    """A-Z lower-cased, and nothing else: ``lower`` does just that, and fast, where all characters are single bytes."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _digest(line: Column, min_chars: int) -> Column:
-    """128-bit hash of the key of a line; null for keys under ``min_chars`` code points."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("x"), F.xxhash64(F.lit(1), key).alias("y")))
+def line_key(line: Column) -> Column:
+    """A line without white space at its ends, A-Z lower-cased."""
+    return lower_az(F.btrim(line, F.lit(SPACE)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,10 +42,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     lines = F.split(text, "\n", -1)
     # A row is known by its id and its text: rows that repeat an id may differ in text.
     row = F.xxhash64(text)
-    keyed = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), _digest(x, min_chars).alias("k")))
-    # The text must not be needed above the explode, or each line would carry a copy of it.
-    own = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.filter(keyed, lambda x: x["k"].isNotNull()).alias("ls"))
-    held = materialize(own.select("id", "row", F.explode("ls").alias("l")).select("id", "row", "l.pos", "l.k.x", "l.k.y"), "lines")
+    # The text must not be needed above the explode, or each line would carry a copy of it. An inner explode would have Spark
+    # split each text a second time, to tell whether it has lines; all have.
+    own = docs.select(F.col(id_col).alias("id"), row.alias("row"), lines.alias("ls"))
+    every = own.select("id", "row", F.posexplode_outer("ls").alias("pos", "line")).where(F.length(F.btrim("line", F.lit(SPACE))) >= min_chars)
+    key = line_key(F.col("line"))
+    held = materialize(every.select("id", "row", "pos", F.xxhash64(key).alias("x"), F.xxhash64(F.lit(1), key).alias("y")), "lines")
     found = held.groupBy("x", "y").agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("last"), F.count("*").alias("rows"))
     frequent = materialize(found.where(F.col("n") >= min_docs).select(F.struct("x", "y").alias("k"), "last", "rows"), "frequent")
     total = frequent.agg(F.sum("rows")).first()[0] or 0
