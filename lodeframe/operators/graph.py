@@ -40,14 +40,17 @@ def ordered_closure(edges: DataFrame, roots: DataFrame | None = None, breadth: b
 
     ``path`` is the array of positions that leads there first: breadth-first the least of the shortest ones, depth-first the
     least of all. Sorted by (depth, path), or by path alone, the rows of a root are in the order of a walk that visits the
-    edges of a node by position. Edges must hold no cycle; of edges that repeat a pair the first counts. Each round
-    extends only the paths that the round before made better, so a breadth-first closure reads each pair once.
+    edges of a node by position. Edges must hold no cycle; of edges that repeat a pair the first counts. Rounds go over the
+    parents of the roots only, and extend only the paths that the round before made better, so a breadth-first closure reads each
+    pair once; roots, which are many where few parents are shared, meet what their parents reach in one join at the end.
     """
     links = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.min("pos").cast("long").alias("pos"))
     links = materialize(links, "edges")
     way = F.struct("depth", "path") if breadth else F.struct("path", "depth")
     first = links if roots is None else links.join(roots.select("src").distinct(), "src", "left_semi")
-    best = materialize(first.select("src", "dst", F.lit(1).alias("depth"), F.array("pos").alias("path")), "frontier")
+    first = materialize(first.select("src", "dst", F.lit(1).alias("depth"), F.array("pos").alias("path")), "first")
+    parents = links.join(first.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    best = materialize(parents.select("src", "dst", F.lit(1).alias("depth"), F.array("pos").alias("path")), "frontier")
     parts, fresh = [best], best
     while not fresh.isEmpty():
         step = fresh.withColumnRenamed("dst", "via").join(links.withColumnRenamed("src", "via"), "via").where("src <> dst")
@@ -58,7 +61,11 @@ def ordered_closure(edges: DataFrame, roots: DataFrame | None = None, breadth: b
         fresh = materialize(better.select("src", "dst", "way.depth", "way.path"), "frontier")
         parts.append(fresh)
     found = reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.min(way).alias("way"))
-    return found.select("src", "dst", "way.depth", "way.path")
+    found = found.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("way.depth").alias("more"), F.col("way.path").alias("onward"))
+    far = first.withColumnRenamed("dst", "via").join(found, "via").where("src <> to")
+    far = far.select("src", F.col("to").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("path", "onward").alias("path"))
+    least = first.unionByName(far).groupBy("src", "dst").agg(F.min(way).alias("way"))
+    return least.select("src", "dst", "way.depth", "way.path")
 
 
 def common_ancestors(up: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -66,12 +73,16 @@ def common_ancestors(up: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``up`` is a closure towards the ancestors.
     """
-    own = pairs.select(F.col("a").alias("src")).union(pairs.select("b")).distinct()
-    reach = up.select("src", "dst", "depth").unionByName(own.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")))
-    left = reach.select(F.col("src").alias("a"), F.col("dst").alias("ancestor"), F.col("depth").alias("da"))
-    right = reach.select(F.col("src").alias("b"), F.col("dst").alias("ancestor"), F.col("depth").alias("db"))
-    both = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "ancestor"])
-    best = both.groupBy("a", "b").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("distance"), "ancestor")).alias("m"))
+    # A node's ancestors are one array, so that a pair stays one row and moves twice, to the arrays of both.
+    reach = materialize(up.groupBy("src").agg(F.collect_list(F.struct("dst", "depth")).alias("up")), "reach")
+    itself = lambda c: F.array(F.struct(F.col(c).alias("dst"), F.lit(0).alias("depth")))
+    both = pairs.select("a", "b").distinct()
+    for c, up_c in (("a", "x"), ("b", "y")):
+        both = both.join(reach.select(F.col("src").alias(c), F.col("up").alias(up_c)), c, "left")
+        both = both.withColumn(up_c, F.when(F.col(up_c).isNull(), itself(c)).otherwise(F.concat(itself(c), up_c)))
+    way = lambda p, q: F.struct((p["depth"] + q["depth"]).alias("distance"), p["dst"].alias("ancestor"))
+    ways = F.flatten(F.transform("x", lambda p: F.transform(F.filter("y", lambda q: q["dst"] == p["dst"]), lambda q: way(p, q))))
+    best = both.select("a", "b", F.array_min(ways).alias("m")).where("m IS NOT NULL")
     return best.select("a", "b", "m.ancestor", "m.distance")
 
 
@@ -82,13 +93,14 @@ def declared_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     ``edges`` are (src, dst, pos) from classes to their parents, without a cycle.
     """
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    above = closure(edges, pairs.select(F.col("a").alias("src"))).select(F.col("src").alias("a"), F.col("dst").alias("ancestor"))
-    walk = ordered_closure(edges, pairs.select(F.col("b").alias("src")), breadth=False).select(F.col("src").alias("b"), F.col("dst").alias("ancestor"), "path")
-    itself = pairs.select("b").distinct().select("b", F.col("b").alias("ancestor"), F.array().cast("array<bigint>").alias("path"))
-    own = pairs.where("a = b").select("a", "b", F.col("a").alias("ancestor"), F.array().cast("array<bigint>").alias("path"))
-    met = pairs.where("a <> b").join(walk.unionByName(itself), "b").join(above, ["a", "ancestor"]).select("a", "b", "ancestor", "path")
-    found = met.unionByName(own).groupBy("a", "b").agg(F.min_by("ancestor", "path").alias("ancestor"))
-    return pairs.join(found, ["a", "b"], "left").select("a", "b", "ancestor")
+    above = closure(edges, pairs.select(F.col("a").alias("src"))).groupBy(F.col("src").alias("a")).agg(F.collect_list("dst").alias("above"))
+    walk = ordered_closure(edges, pairs.select(F.col("b").alias("src")), breadth=False)
+    walk = walk.groupBy(F.col("src").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "dst"))), lambda w: w["dst"]).alias("walk"))
+    # What is known of a node is one array, so that a pair stays one row.
+    both = pairs.join(materialize(above, "above"), "a", "left").join(materialize(walk, "walk"), "b", "left")
+    order = F.concat(F.array("b"), F.coalesce("walk", F.array().cast("array<string>")))
+    first = F.get(F.filter(order, lambda n: F.array_contains("above", n)), F.lit(0))
+    return both.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(first).alias("ancestor"))
 
 
 def leaves(edges: DataFrame) -> DataFrame:

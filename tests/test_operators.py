@@ -117,3 +117,13 @@ def test_children_and_components(spark):
     assert names(relations.dependencies(edges, "src", "dst"), "name", "uses", "n") == [("b", "a", 1), ("c", "a", 1), ("d", "b", 1), ("x", "y", 1)]
     found = graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     assert names(found.where("node <> component"), "node", "component") == [("b", "a"), ("c", "a"), ("d", "a"), ("y", "x")]
+
+
+def test_a_pair_stays_one_row_while_ancestors_are_met(spark):
+    """Pairs are not multiplied by the ancestors of their sides."""
+    edges = spark.createDataFrame([("a", "p"), ("b", "p"), ("p", "q"), ("q", "r"), ("z", "y")], "src string, dst string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "z"), ("r", "a"), ("x", "x"), ("a", None)], "a string, b string")
+    found = graph.common_ancestors(graph.closure(edges), pairs)
+    assert names(found, "a", "b", "ancestor", "distance") == [("a", "b", "p", 2), ("r", "a", "r", 3), ("x", "x", "x", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Aggregate") == 1
