@@ -2,8 +2,8 @@
 
 Inputs are the tables of ``sources.classfile``: classes (name, modifiers, superclass, interfaces, is_record), members
 (owner, pos, name, descriptor, modifiers), annotations (target_kind, owner, member, annotation) and edges (rel, src, dst).
-Everything is joins and closures, in declared order where that matters; only the order of methods places the interfaces of one
-class at a time.
+Everything is joins and closures, in declared order where that matters; only the order of methods places the interfaces of a
+class in a function of one array.
 """
 
 from __future__ import annotations
@@ -218,6 +218,16 @@ def _placed(order: list[str], above: dict[str, list[str]]) -> list[str]:
     return out
 
 
+def _reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name) of ``roots`` and all that any of them reaches over (src, dst): sets of nodes, not pairs."""
+    known = fresh = roots
+    while not fresh.isEmpty():
+        next_ = edges.select("src", F.col("dst").alias("to")).join(fresh.select(F.col("name").alias("src")), "src", "left_semi").where("to IS NOT NULL")
+        fresh = materialize(next_.select(F.col("to").alias("name")).distinct().join(known, "name", "left_anti"), "fresh")
+        known = known.unionByName(fresh)
+    return materialize(known, "around")
+
+
 def override_order(edges: DataFrame, kinds: DataFrame, fields: bool = False, roots: DataFrame | None = None) -> DataFrame:
     """(name, prio from 0, declares): where each class looks for members, in order.
 
@@ -226,11 +236,10 @@ def override_order(edges: DataFrame, kinds: DataFrame, fields: bool = False, roo
     ``kinds``. The interfaces of a class are those of ``ordered_interfaces``, so they hold those that its interfaces extend and
     those of its superclasses. Fields: a depth-first walk through the interfaces and then the superclass. Methods: the class and
     its superclasses, then interfaces, those of the topmost superclass first, and an interface before those that it extends.
-    A group is the interfaces of one class.
+    The interfaces of one class are one array, placed by a small function a row.
     """
     asked = materialize((kinds if roots is None else roots).select("name").distinct(), "asked")
-    above = ordered_closure(edges.where("rel IN ('extends', 'implements')"), asked.select(F.col("name").alias("src")))
-    around = materialize(asked.union(above.select("dst")).distinct(), "around")
+    around = _reachable(edges.where("rel IN ('extends', 'implements')"), asked)
     faces = materialize(ordered_interfaces(edges, around), "faces")
     itself = asked.select("name", F.lit(0).alias("prio"), F.col("name").alias("declares"))
     if fields:
@@ -246,15 +255,17 @@ def override_order(edges: DataFrame, kinds: DataFrame, fields: bool = False, roo
     seen = met.groupBy("name", "interface").agg(F.min(F.struct((-F.col("prio")).alias("down"), "place")).alias("way"))
     own = faces.groupBy(F.col("name").alias("interface")).agg(F.transform(F.sort_array(F.collect_list(F.struct("prio", "interface"))), lambda x: x["interface"]).alias("own"))
     length = up.groupBy("name").agg(F.max("prio").alias("length"))
-    rows = seen.join(own, "interface", "left").join(length, "name", "left").select("name", "way.down", "way.place", "interface", F.coalesce("own", F.array().cast("array<string>")).alias("own"), F.coalesce("length", F.lit(0)).alias("length"))
+    rows = seen.join(own, "interface", "left").select("name", "way.down", "way.place", "interface", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
+    listed = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("down", "place", "interface", "own"))).alias("all")).select("name", "all.interface", "all.own")
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["down", "place"])
-        found = _placed(list(rows["interface"]), {x: list(o) for x, o in zip(rows["interface"], rows["own"])})
-        first = int(rows["length"].iloc[0]) + 1
-        return pd.DataFrame({"name": rows["name"].iloc[0], "prio": range(first, first + len(found)), "declares": found})
+    @F.pandas_udf("array<string>")
+    def placed(faces: pd.Series, above: pd.Series) -> pd.Series:
+        return pd.Series([_placed(list(x), dict(zip(x, map(list, y)))) for x, y in zip(faces, above)])
 
-    return chain.unionByName(rows.groupBy("name").applyInPandas(order, "name string, prio int, declares string"))
+    # One array a class: a group a class would cost a call of Python and pandas each.
+    ordered = listed.select("name", placed("interface", "own").alias("all")).join(length, "name", "left")
+    ordered = ordered.select("name", "length", F.posexplode("all").alias("at", "declares"))
+    return chain.unionByName(ordered.select("name", (F.coalesce("length", F.lit(0)) + 1 + F.col("at")).cast("int").alias("prio"), "declares"))
 
 
 def visible_members(orders: DataFrame, members: DataFrame, key: Sequence[str]) -> DataFrame:

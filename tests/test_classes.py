@@ -221,3 +221,11 @@ def test_merge_against_a_plain_loop(spark):
         assert [tuple(r) for r in got.collect()] == plain_merge(own, limit, lambda p: "hidden" in p)
     providers = {"CLASS": spark.createDataFrame(hits(1, "CLASS", "x"), search.HIT), "BYTECODE": spark.createDataFrame(hits(2, "BYTECODE", "y"), search.HIT)}
     assert len(search.in_scope(providers, "CLASS")) == 1 and len(search.in_scope(providers, "ALL")) == 2
+
+
+def test_override_orders_form_no_group_a_class(spark):
+    edges = spark.createDataFrame([("extends", "K", "P", 0), ("implements", "P", "Z", 0), ("implements", "K", "A", 0)], "rel string, src string, dst string, pos int")
+    kinds = spark.createDataFrame([("K", False), ("P", False), ("A", True), ("Z", True)], "name string, is_interface boolean")
+    found = C.override_order(edges, kinds)
+    assert rows(found.where("name = 'K'"), "prio", "declares") == [(0, "K"), (1, "P"), (2, "Z"), (3, "A")]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
