@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodeframe.operators.graph import closure
+from lodeframe.plans.scratch import materialize
 from lodeframe.sources.bytecode import JUMPS, RETURNS
 
 METHOD = ("full_path", "method_pos")
@@ -36,10 +37,12 @@ def basic_blocks(instructions: DataFrame, handlers: DataFrame | None = None, by:
     cuts = F.col("op").isin(*CONDITIONAL, *ENDS) | (F.col("kind") == "switch")
     marked = instructions.select(*by, "at", "offset", "op", "kind", "targets").join(leads, [*by, "offset"], "left")
     begins = F.when(F.col("lead").isNotNull() | F.coalesce(F.lag(cuts).over(order), F.lit(True)), 1).otherwise(0)
-    numbered = marked.withColumn("begins", begins).withColumn("block", (F.sum("begins").over(order) - 1).cast("int"))
-    last = F.max_by(F.struct("op", "kind", "targets"), "at").alias("l")
-    blocks = numbered.groupBy(*by, "block").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("offset").alias("start"), F.max("offset").alias("end"), F.count("*").alias("n"), last)
-    return blocks.select(*by, "block", "first", "last", "start", "end", "n", "l.op", "l.kind", "l.targets")
+    # One sort for all windows: a block is the row before the next one begins, with what its first row has left behind.
+    numbered = marked.withColumn("begins", begins).withColumn("row", F.row_number().over(order)).withColumn("block", (F.sum("begins").over(order) - 1).cast("int"))
+    head = F.last(F.when(F.col("begins") == 1, F.struct("at", "offset", "row")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = numbered.withColumn("head", head).withColumn("next", F.lead("begins").over(order)).where("next IS NULL OR next = 1")
+    n = (F.col("row") - F.col("head.row") + 1).cast("long").alias("n")
+    return ends.select(*by, "block", F.col("head.at").alias("first"), F.col("at").alias("last"), F.col("head.offset").alias("start"), F.col("offset").alias("end"), n, "op", "kind", "targets")
 
 
 def flow_edges(blocks: DataFrame, handlers: DataFrame | None = None, by: Sequence[str] = METHOD) -> DataFrame:
@@ -50,6 +53,9 @@ def flow_edges(blocks: DataFrame, handlers: DataFrame | None = None, by: Sequenc
     range touches, its end included, has a dotted edge to the handler, labelled by the simple name of its type or ``any``.
     """
     by = list(by)
+    # Blocks and handlers are read several times.
+    blocks = materialize(blocks, "blocks")
+    handlers = None if handlers is None else materialize(handlers, "handlers")
     starts = blocks.select(*by, F.col("start").alias("offset"), F.col("block").alias("dst"))
     goals = blocks.select(*by, F.col("block").alias("src"), "op", "kind", F.explode("targets").alias("t")).select(*by, "src", "op", "kind", "t.label", "t.offset")
     reached = goals.join(starts, [*by, "offset"])

@@ -246,3 +246,12 @@ def test_bytecode_lines_are_searched_like_others(decoded):
     hits = search.bytecode_hits(lines, "PUTSTATIC com/example/Target").collect()
     assert [(r["full_path"], r["match_line"].split(" ", 1)[1], r["match_type"]) for r in hits] == [("com/example/Caller.class", "putstatic com/example/Target.value : I", "BYTECODE")]
     assert search.bytecode_hits(lines, "putstatic com/example/Target", case_sensitive=True).count() == 1 and search.bytecode_hits(lines, " ").count() == 0
+
+
+def test_basic_blocks_gather_no_rows_of_a_block(spark):
+    made = [("m", 0, 0, "nop", "plain"), ("m", 1, 3, "ifeq", "jump"), ("m", 2, 6, "nop", "plain"), ("m", 3, 7, "ireturn", "plain")]
+    code = spark.createDataFrame(made, "m string, at int, offset int, op string, kind string").selectExpr("*", "if(kind = 'jump', array(named_struct('label', string(null), 'offset', 3)), array()) AS targets")
+    blocks = flow.basic_blocks(code, by=["m"])
+    got = [tuple(r) for r in blocks.select("block", "first", "last", "start", "end", "n", "op").orderBy("block").collect()]
+    assert got == [(0, 0, 0, 0, 0, 1, "nop"), (1, 1, 1, 3, 3, 1, "ifeq"), (2, 2, 3, 6, 7, 2, "ireturn")]
+    assert "max_by" not in blocks._jdf.queryExecution().optimizedPlan().toString()
