@@ -6,13 +6,19 @@ reached and writes the new ones to the shared folder, so lineage stays flat and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodeframe.plans.scratch import materialize
 from lodeframe.plans.skew import join_per_key, with_count
 
+#: Edges that a task joins at once.
+EDGES = 1 << 18
+
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) without blanks and self-loops."""
@@ -126,10 +132,16 @@ def assignable_to(members: DataFrame, name: str, edges: DataFrame, target) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected ``edges`` (a, b) that reach a smaller one: component is the smallest of them.
 
-    Alternating large-star and small-star rounds, a logarithmic number in practice; each round is a table in the
-    shared folder, and the end is noticed by the number and the hash of all edges, one row. Self-loops are left out.
+    Self-loops are left out, and so are edges with a null end. Nodes are longs (``_long_components``), or of any other type that has an order.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    return _long_components(edges) if {kind for _, kind in edges.dtypes} == {"bigint"} else _any_components(edges)
+
+
+def _any_components(edges: DataFrame) -> DataFrame:
+    """Alternating large-star and small-star rounds, a logarithmic number in practice; each round is a table in the
+    shared folder, and the end is noticed by the number and the hash of all edges, one row."""
+    edges = materialize(edges.distinct(), "edges")
     seen = None
     while True:
         both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
@@ -142,6 +154,62 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _long_components(edges: DataFrame) -> DataFrame:
+    """Rounds of two tables each: edges that tasks have joined to stars, and the nodes whose place is open.
+
+    Tasks join what they read before it is dealt by the larger end, and what they get after; so a node has at most one row a
+    task, and all its rows meet. Then whatever hangs on a node that itself hangs on another is hung there. It ends when no node has
+    both or has two rows, so that there is no round which only finds that nothing changed.
+    """
+    while True:
+        stars = materialize(_joined(_joined(edges).repartition("a").sortWithinPartitions("a")), "stars")
+        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("m")), F.struct(F.col("b").alias("u"), F.lit(None).cast("long").alias("m")))
+        found = stars.select(F.explode(ends).alias("e")).groupBy("e.u").agg(F.min("e.m").alias("m"), F.count("e.m").alias("up"), F.count_if(F.col("e.m").isNull()).alias("n"))
+        inner = materialize(found.where("up > 1 OR up > 0 AND n > 0"), "inner")
+        nodes, total = inner.agg(F.count("*"), F.sum("n")).first()
+        if not nodes:
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        edges = stars
+        if total:
+            hung = join_per_key(stars.withColumnRenamed("b", "u"), inner.where("n > 0").select("u", "m", "n"), "u", "n", total, "left")
+            edges = hung.select("a", F.coalesce("m", "u").alias("b"))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(a, b): stars, b the smallest node, that join the same nodes as long ``edges`` (a, b), about ``EDGES`` of a task at once.
+
+    Where edges are sorted by a, all of one a are joined at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            a, b = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in ((0, a), (1, b)))
+            if len(a) >= EDGES:
+                # The last node may have more rows.
+                last = a == a[-1]
+                yield _stars(a[~last], b[~last])
+                a, b = a[last], b[last]
+        yield _stars(a, b)
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each node of the edges (a, b) but the smallest of its component, with the smallest."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    low = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+        x, y = low[x], low[y]
+        x, y = x[x != y], y[x != y]
+    hung = np.flatnonzero(low != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[low[hung]])], names=["a", "b"])
+
+
 def _star(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair (a, b) as u and v, with the smallest of u and all its partners."""
     mins = materialize(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "mins")
